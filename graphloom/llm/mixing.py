@@ -6,7 +6,9 @@ rounding makes 0 or 1.  Two documents meet, a random amount of words moves from
 one to the other until one of them is settled, and the other goes on.  The amount
 is chosen so that no document's expectation changes, and as words (not
 probabilities) move, the words a source takes stay at its target until its very
-last document, the smallest, is settled by one draw.
+last document is settled by one draw.  A source's long documents go first; what
+their last draw misses shifts the probabilities of the shorter ones, tier by tier,
+so the end result is off by the part of one short document.
 
 The pairs meet in a reduction tree: documents in hashed blocks of about `BLOCK`,
 the one unsettled document of each block in blocks of the next level, and so on.
@@ -33,12 +35,14 @@ WEIGHTS = (5, 2, 1)
 #: Share of all words that the mix is to hold, and the most copies of a source.
 SHARE, MOST = 1.5, 2
 #: Documents of a block, on average.
-BLOCK = 64
+BLOCK = 256
+#: Shares of a source's documents, by size, at which the next tier begins.
+TIERS = (0.8, 0.5)
 EPS = 1e-12
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """Per source (source, source_size, n): its target words.
+    """Per source (source, source_size, n, cuts): its target words.
 
     Targets share all words by weight, none above `most` times its source; what is
     too much is shared again by weight.  That is one level L with target =
@@ -55,7 +59,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     s = s.withColumn("level", left / F.sum("w").over(after))
     s = s.withColumn("level", F.max(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.col("level"))).over(all_))
     target = F.least(F.col("cap"), F.coalesce(F.col("level"), F.lit(float("inf"))) * F.col("w"))
-    return s.select("source", "source_size", "n", target.alias("target"))
+    return s.select("source", "source_size", "n", "cuts", target.alias("target"))
 
 
 def _uniform(*cols: Column) -> Column:
@@ -98,36 +102,55 @@ def _round(blocks: DataFrame, level: int, seed: int) -> DataFrame:
     return blocks.groupBy("src", "b").agg(items.alias("items")).select("src", "b", F.aggregate("items", zero, step).alias("r"))
 
 
+def _settle(level: DataFrame, blocks: int, seed: int) -> DataFrame:
+    """(src, id, h, o, s, c) of all documents of (src, b, x): the reduction tree, whose root is one draw."""
+    done, k = [], 0
+    while True:
+        r = checkpoint(_round(level, k, seed))
+        done.append(r.select("src", F.explode("r.done").alias("y")).select("src", "y.*"))
+        level = r.where("r.rest is not null").select("src", F.floor(F.col("b") / BLOCK).alias("b"), F.col("r.rest").alias("x"))
+        if blocks <= 1:
+            break
+        blocks, k = math.ceil(blocks / BLOCK), k + 1
+    settled = level.select("src", "x.id", "x.h", "x.o", "x.s", (_uniform(F.lit(seed), F.col("x.h"), F.col("x.id")) < F.col("x.p")).cast("int").alias("c"))
+    for y in done:
+        settled = settled.unionByName(y)
+    return settled
+
+
 def plan(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, share: float = SHARE, most: int = MOST) -> DataFrame:
     """(key, h, o, size, source, source_size, target, copies), one row per input row; h and o tell rows of one key apart."""
     d = df.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text), F.col(source)).alias("h"), word_count(F.col(text)).alias("size"), F.col(source).cast("string").alias("source"))
     d = d.withColumn("o", F.row_number().over(Window.partitionBy("id", "h").orderBy("size")).cast("int"))
     d = checkpoint(d)
-    t = targets(d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), share=share, most=most)
+    t = targets(d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), F.percentile_approx("size", list(TIERS)).alias("cuts")), share=share, most=most)
     t = checkpoint(t.withColumn("src", F.xxhash64("source")))
     p = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    # the table of sources, an aggregate, is small as a rule; Spark broadcasts it only by its size
-    x = d.join(t.drop("n").withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    # the table of sources is an aggregate; Spark broadcasts it only by its measured size
+    x = d.join(t.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     x = x.withColumn("whole", F.floor(p + EPS).cast("int")).withColumn("p", p - F.col("whole"))
     x = x.withColumn("open", (F.col("p") > EPS) & (F.col("size") > 0))
-    most_n = t.agg(F.max("n")).first()[0] or 0
-    blocks = max(1, math.ceil(most_n / BLOCK))
     n_of = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK))
     item = F.struct("id", "h", "o", F.col("size").cast("double").alias("s"), "p")
-    level = x.where("open").join(t.select("src", "n"), "src").select("src", F.pmod(F.xxhash64("id", "h", "o", F.lit(seed)), n_of).alias("b"), item.alias("x"))
-    done, k = [], 0
-    while True:
-        r = checkpoint(_round(level, k, seed))
-        done.append(r.select(F.explode("r.done").alias("y")).select("y.*"))
-        if blocks <= 1:
+    level = x.where("open").withColumn("b", F.pmod(F.xxhash64("id", "h", "o", F.lit(seed)), n_of))
+    tier = F.lit(0)
+    for k in range(len(TIERS)):
+        tier = tier + (F.col("size") <= F.get(F.col("cuts"), F.lit(k))).cast("int")
+    level = level.select("src", "b", tier.alias("tier"), item.alias("x"))
+    most_n = t.agg(F.max("n")).first()[0] or 0
+    blocks = max(1, math.ceil(most_n / BLOCK))
+    settled = None
+    for k in range(len(TIERS) + 1):
+        own = level.where(F.col("tier") == k).select("src", "b", "x")
+        part = checkpoint(_settle(own, blocks, seed + k))
+        settled = part if settled is None else settled.unionByName(part)
+        if k == len(TIERS):
             break
-        level = r.where("r.rest is not null").select("src", F.floor(F.col("b") / BLOCK).alias("b"), F.col("r.rest").alias("x"))
-        blocks, k = math.ceil(blocks / BLOCK), k + 1
-    last = r.where("r.rest is not null").select("r.rest.*")
-    done.append(last.select("id", "h", "o", "s", (_uniform(F.lit(seed), F.col("h"), F.col("id")) < F.col("p")).cast("int").alias("c")))
-    settled = done[0]
-    for y in done[1:]:
-        settled = settled.unionByName(y)
+        got = part.groupBy("src").agg(F.sum(F.col("c") * F.col("s")).alias("got"))
+        rest = level.groupBy("src").agg(F.sum(F.when(F.col("tier") == k, F.col("x.p") * F.col("x.s"))).alias("want"), F.sum(F.when(F.col("tier") > k, F.col("x.s"))).alias("room"))
+        shift = rest.join(got, "src").select("src", ((F.col("want") - F.col("got")) / F.col("room")).alias("shift"))
+        moved = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("x.p") + F.coalesce("shift", F.lit(0.0))))
+        level = level.where(F.col("tier") > k).join(shift, "src", "left").withColumn("x", F.col("x").withField("p", moved)).drop("shift")
     settled = settled.select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("o").alias("_o"), "c")
     out = x.join(settled, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")) & (F.col("o") == F.col("_o")), "left")
     copies = F.when(F.col("size") == 0, 0).otherwise(F.col("whole") + F.coalesce(F.col("c"), F.lit(0)))

@@ -5,16 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.llm import quality
+from graphloom.llm import line_dedup, mixing, quality
 from graphloom.llm.common import read
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return line_dedup.dedup(docs.select("doc_id", "text"), counts=True)
+
+
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = mixing.plan(read(spark, sf_dir, "documents"))
+    return p.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_line_dedup": op3_line_dedup,
+    "op7_source_mix": op7_source_mix,
     "op10_quality_rules": op10_quality_rules,
 }
 
