@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import line_dedup, mixing, quality
+from graphloom.llm import line_dedup, mixing, packing, quality
 from graphloom.llm.common import read
 
 
@@ -21,6 +21,10 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
+def op9_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(read(spark, sf_dir, "documents")))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
 
@@ -28,6 +32,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op7_source_mix": op7_source_mix,
+    "op9_sequence_packing": op9_sequence_packing,
     "op10_quality_rules": op10_quality_rules,
 }
 
