@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import line_dedup, mixing, packing, quality
+from graphloom.llm import line_dedup, mixing, near_dup, packing, quality
 from graphloom.llm.common import read
 
 
+def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = near_dup.groups(read(spark, sf_dir, "documents"), shingle=2, percent=80)
+    own = lambda c: F.when(F.col(c) != near_dup.NO_ID, F.col(c))
+    return g.select(own("id").alias("doc_id"), F.col("n").alias("n_shingles"), own("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return line_dedup.dedup(docs.select("doc_id", "text"), counts=True)
@@ -30,6 +36,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dup": op1_near_dup,
     "op3_line_dedup": op3_line_dedup,
     "op7_source_mix": op7_source_mix,
     "op9_sequence_packing": op9_sequence_packing,
