@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import line_dedup, mixing, near_dup, packing, quality
+from graphloom.llm import fingerprints, line_dedup, mixing, near_dup, packing, quality
 from graphloom.llm.common import read
 
 
@@ -22,6 +22,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(docs.select("doc_id", "text"), counts=True)
 
 
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.versions(read(spark, sf_dir, "documents")).drop("gone")
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = mixing.plan(read(spark, sf_dir, "documents"))
     return p.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
@@ -38,6 +42,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dup": op1_near_dup,
     "op3_line_dedup": op3_line_dedup,
+    "op5_document_fingerprints": op5_document_fingerprints,
     "op7_source_mix": op7_source_mix,
     "op9_sequence_packing": op9_sequence_packing,
     "op10_quality_rules": op10_quality_rules,
