@@ -63,3 +63,16 @@ def word_count(text: Column) -> Column:
         odd = odd | F.startswith(t, F.lit(s)) | F.endswith(t, F.lit(s))
     gaps = F.octet_length(t) - F.octet_length(F.replace(F.replace(t, F.lit(" "), F.lit("")), F.lit("\n"), F.lit("")))
     return F.when(t == "", 0).when(odd, F.size(words(t))).otherwise(gaps + 1).cast("long")
+
+
+#: Stands for a null id where Python works on ids: pandas would turn a column with nulls into floats.
+NO_ID = -(2**63)
+
+
+def safe_id(c: Column) -> Column:
+    return F.coalesce(c.cast("long"), F.lit(NO_ID))
+
+
+def own_id(c: Column) -> Column:
+    """The reverse of `safe_id`."""
+    return F.when(c != NO_ID, c)

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import checkpoint
+from graphloom.llm.common import checkpoint, own_id, safe_id
 from graphloom.llm.tokenizer import default_path, encoder
 
 CAPACITY, END_ID = 1024, 2
@@ -51,7 +51,7 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 def pieces(df: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32), in one pass over the texts."""
+    """(doc_id, piece, start, length, ids_crc32), in one pass over the texts; a null key is the smallest long."""
     path = path or default_path()
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,10 +62,9 @@ def pieces(df: DataFrame, path: str | None = None, key: str = "doc_id", text: st
                 ids = np.concatenate([enc.ids(t or ""), end])
                 for k, (s, n) in enumerate(cut(len(ids), capacity)):
                     out.append((doc, k, s, n, zlib.crc32(ids[s : s + n].tobytes())))
-            x = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield x.assign(doc_id=x["doc_id"].astype("Int64"))
+            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(encode, PIECES)
+    return df.select(safe_id(F.col(key)).alias("doc_id"), F.col(text).alias("text")).mapInPandas(encode, PIECES)
 
 
 def sum_of_squares(counts: np.ndarray, capacity: int = CAPACITY) -> tuple[dict[int, np.ndarray], int]:
@@ -157,9 +156,9 @@ def pack(p: DataFrame, capacity: int = CAPACITY, batch: int = BATCH) -> DataFram
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             seq, off = plan.find(b["length"].to_numpy(), b["rank"].to_numpy())
-            yield b.drop(columns="rank").assign(sequence_id=seq, offset=off, doc_id=b["doc_id"].astype("Int64"))
+            yield b.drop(columns="rank").assign(sequence_id=seq, offset=off)
 
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
     placed = short.select(*cols, "rank").mapInPandas(place, f"{PIECES}, sequence_id long, offset long")
     full = p.where(F.col("length") == capacity).select(*cols, (F.lit(plan.sequences) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return placed.unionByName(full)
+    return placed.unionByName(full).withColumn("doc_id", own_id(F.col("doc_id")))

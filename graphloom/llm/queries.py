@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import fingerprints, line_dedup, mixing, near_dup, packing, quality
-from graphloom.llm.common import read
+from graphloom.llm import chat, fingerprints, line_dedup, mixing, near_dup, packing, quality, token_counts
+from graphloom.llm.common import own_id, read
 
 
 def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,11 +17,24 @@ def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(own("id").alias("doc_id"), F.col("n").alias("n_shingles"), own("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = token_counts.section_tokens(read(spark, sf_dir, "documents"))
+    return t.withColumn("doc_id", own_id(F.col("doc_id")))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return line_dedup.dedup(docs.select("doc_id", "text"), counts=True)
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    c = c.unionByName(spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string"))
+    d = chat.read_back(chat.segments(c))
+    return d.withColumn("conv_id", own_id(F.col("conv_id")))
+
+
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.versions(read(spark, sf_dir, "documents")).drop("gone")
 
@@ -41,7 +54,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dup": op1_near_dup,
+    "op2_token_counts": op2_token_counts,
     "op3_line_dedup": op3_line_dedup,
+    "op4_chat_format": op4_chat_format,
     "op5_document_fingerprints": op5_document_fingerprints,
     "op7_source_mix": op7_source_mix,
     "op9_sequence_packing": op9_sequence_packing,
