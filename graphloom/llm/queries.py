@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat, fingerprints, line_dedup, mixing, near_dup, packing, quality, token_counts
+from graphloom.llm import chat, fingerprints, line_dedup, mixing, near_dup, packing, pii, quality, secret_scan, token_counts
 from graphloom.llm.common import own_id, read
 
 
@@ -39,15 +39,29 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.versions(read(spark, sf_dir, "documents")).drop("gone")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(read(spark, sf_dir, "documents"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = mixing.plan(read(spark, sf_dir, "documents"))
     return p.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents"))
+
+
 def op9_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(read(spark, sf_dir, "documents")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
 
@@ -58,9 +72,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_chat_format": op4_chat_format,
     "op5_document_fingerprints": op5_document_fingerprints,
+    "op6_secret_scan": op6_secret_scan,
     "op7_source_mix": op7_source_mix,
+    "op8_personal_data": op8_personal_data,
     "op9_sequence_packing": op9_sequence_packing,
     "op10_quality_rules": op10_quality_rules,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {}
