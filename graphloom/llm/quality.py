@@ -201,5 +201,7 @@ def keep(df: DataFrame, threshold: float = 0.5, text: str = "text") -> DataFrame
     model = fit_frame(features(df.select(text), text).select(votes().alias("_v")))
     cols = df.columns
     f = features(df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)]), f"c{cols.index(text)}", "_f")
+    # a generator of one row: the filter stays above it, else its expressions would be copied into every vote
+    f = f.select(*[f"c{i}" for i in range(len(cols))], F.explode(F.array("_f")).alias("_f"))
     f = f.where(~base_failed() & (model.posterior(votes()) >= threshold))
     return f.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)])
