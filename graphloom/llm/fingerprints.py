@@ -36,6 +36,8 @@ CELLS = 12
 ROOM, TRIES, ROUNDS = 1.5, 4, 24
 #: Documents next to each other by id that one task orders, on average.
 NEIGHBOURS = 4_000
+#: Most ranges of ids; so many rows of four numbers go to every executor.
+MOST_RANGES = 50_000
 
 CELL = "struct<c:int,n:int,k:bigint,x:bigint>"
 
@@ -141,13 +143,15 @@ def with_next(df: DataFrame, key: str, text: str, carry: list[str]) -> DataFrame
     d = df.withColumn("_null", F.col(key).isNull()).withColumn("_t", F.xxhash64(text))
     s = d.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count("*").alias("n")).first()
     span = (s["hi"] - s["lo"] + 1) if s["lo"] is not None else 1
-    wide = max(1, math.ceil(span * NEIGHBOURS / max(s["n"], 1)))
+    ranges = min(max(1, s["n"] // NEIGHBOURS), MOST_RANGES)
+    wide = max(1, math.ceil(span / ranges))
     d = d.withColumn("_r", F.when(F.col("_null"), -1).otherwise(F.floor((F.col(key) - F.lit(s["lo"] or 0)) / F.lit(wide))).cast("long"))
     top = d.groupBy("_r").agg(F.max(F.struct(key, "_t")).alias("top"))
     by = Window.orderBy("_r")
     above = F.lead("_r").over(by)
     top = top.withColumn("_to", F.coalesce(above, F.min("_r").over(Window.partitionBy()))).withColumnRenamed("_r", "_q")
-    d = d.join(top, F.col("_r") == F.col("_q"))
+    # at most MOST_RANGES + 1 rows: texts need not be dealt out to meet them
+    d = d.join(F.broadcast(top), F.col("_r") == F.col("_q"))
     ghost = F.struct(F.col(key), F.col("_t")) == F.col("top")
     d = d.withColumn("_copy", F.explode(F.when(ghost, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
     d = d.withColumn("_r", F.when(F.col("_copy"), F.col("_to")).otherwise(F.col("_r"))).drop("_q", "_to", "top", "_null")
