@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from graphloom.queries import graphs, relational, texts
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = graphs.QUERIES | relational.QUERIES | texts.QUERIES
+ORACLE_SQL: dict[str, str] = graphs.ORACLE_SQL | relational.ORACLE_SQL | texts.ORACLE_SQL

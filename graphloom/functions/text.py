@@ -7,12 +7,13 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STOP_WORDS = ("a an and are as at be by for from in into is it of on or that the then this to use using was with without").split()
+#: Words that carry no meaning in a task.
+STOP_WORDS = ("a an and are as at be by create for from in into is it of on or our that the this to tool we with").split()
 
 
 def normalized(text: Column) -> Column:
     """Lower-case runs of letters and digits joined by blanks; camelCase is split."""
-    parted = F.regexp_replace(text, r"([\p{Ll}\p{N}])(\p{Lu})", "$1 $2")
+    parted = F.regexp_replace(text, r"([\p{Ll}0-9])(\p{Lu})", "$1 $2")
     return F.array_join(F.regexp_extract_all(F.lower(parted), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), " ")
 
 
@@ -100,3 +101,65 @@ def backoff(attempt: Column, base: float, most: float) -> Column:
 def json_string(text: Column) -> Column:
     """A JSON string literal, which is also a Cypher one."""
     return F.regexp_extract(F.to_json(F.struct(text.alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)
+
+
+def title_case(text: Column) -> Column:
+    """Words between dashes, underscores or blanks, each with a capital."""
+    return F.initcap(F.trim(F.regexp_replace(text, r"[-_\s]+", " ")))
+
+
+def without_extension(path: Column) -> Column:
+    return F.regexp_replace(path, r"\.[^./]+$", "")
+
+
+def posix(path: Column) -> Column:
+    return F.replace(path, F.lit("\\"), F.lit("/"))
+
+
+def ancestors(path: Column) -> Column:
+    """Folders above a path, the root ("") first."""
+    p = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(0), F.size(p) - 1), lambda n: F.array_join(F.slice(p, 1, n), "/"))
+
+
+def safe_path(path: Column) -> Column:
+    """Relative, without `..`, NUL or backslash."""
+    bad = path.startswith("/") | path.contains("\\") | path.contains("\0") | F.array_contains(F.split(path, "/"), "..") | path.rlike("^[A-Za-z]:")
+    return path.isNotNull() & (path != "") & ~bad
+
+
+def is_test_path(path: Column) -> Column:
+    """A test or spec file by its name or folder."""
+    return path.rlike(r"(^|/)(tests?|__tests__|specs?)/|\.(test|spec)\.[cm]?[jt]sx?$")
+
+
+def is_declaration_path(path: Column) -> Column:
+    return path.rlike(r"\.d\.[cm]?ts$")
+
+
+def is_source_path(path: Column) -> Column:
+    return path.rlike(r"\.[cm]?[jt]sx?$")
+
+
+def excluded(path: Column, *fragments: str) -> Column:
+    hit = F.lit(False)
+    for f in fragments:
+        hit = hit | path.contains(f)
+    return hit
+
+
+def xpath_literal(text: str) -> str:
+    """A string literal of XPath, which has no escapes: parts with the other quote are concatenated."""
+    if "'" not in text:
+        return f"'{text}'"
+    if '"' not in text:
+        return f'"{text}"'
+    return "concat(" + ", \"'\", ".join(f"'{p}'" for p in text.split("'")) + ")"
+
+
+def retry_after_ms(header: Column, remaining: Column, reset_s: Column, now_s: Column) -> Column:
+    """Milliseconds to wait: seconds or a date in `Retry-After`, else until a spent rate limit starts anew and a second more."""
+    seconds = header.try_cast("double")
+    date = F.try_to_timestamp(F.regexp_extract(header, r"(\d{2} \w{3} \d{4} \d{2}:\d{2}:\d{2})", 1), F.lit("dd MMM yyyy HH:mm:ss")).cast("double")
+    rate = F.when((remaining == "0") & (reset_s > 0), F.greatest(F.lit(1000.0), (reset_s - now_s) * 1000 + 1000))
+    return F.coalesce(F.when(seconds >= 0, seconds * 1000), F.greatest(F.lit(0.0), (date - now_s) * 1000), rate)

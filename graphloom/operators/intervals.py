@@ -9,12 +9,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def coalesced(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Touching or overlapping ranges of a key merged: a running maximum of ends marks where a new island begins."""
+def coalesced(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", width: int | None = None) -> DataFrame:
+    """Touching or overlapping ranges of a key merged, with the number of ranges in each as `n`.
+
+    A running maximum of ends marks where a new island begins.  With `width`, ranges
+    are first merged among those that start in the same bucket: a key with very many
+    ranges is then many tasks, and its islands alone meet in one.
+    """
+    out = df.select(*keys, start, end, F.lit(1).cast("long").alias("n"))
+    if width is not None:
+        out = _islands(out.withColumn("_bucket", F.floor(F.col(start) / width)), [*keys, "_bucket"], start, end).drop("_bucket")
+    return _islands(out, keys, start, end)
+
+
+def _islands(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(start, end)
     df = df.withColumn("_reach", F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    df = df.withColumn("_island", F.sum(F.when(F.col("_reach").isNull() | (F.col(start) > F.col("_reach")), 1).otherwise(0)).over(w))
-    return df.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_island")
+    df = df.withColumn("_island", F.sum(F.when(F.col("_reach").isNull() | (F.col(start) > F.col("_reach")), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return df.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.sum("n").alias("n")).drop("_island")
 
 
 def maximal(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,16 +28,36 @@ def multiset_difference(left: DataFrame, right: DataFrame, keys: list[str]) -> D
 
 
 def fair_sample(df: DataFrame, queue: str, order: list[str], item: list[str], cap: int) -> DataFrame:
-    """Round-robin over queues: first items of all, then second ones, up to `cap` in all.
+    """Round-robin over queues in their order: each gives its next item that no other gave yet, up to `cap` in all.
 
-    An item in several queues counts where it comes first, so queues are numbered
-    again without it.  Input order does not matter.
+    A queue gives `cap` items at most and passes over as many, so its first 2 * cap
+    can matter; one task then walks those of all queues.  Input order does not matter.
     """
     w = Window.partitionBy(queue).orderBy(*order)
-    first = df.withColumn("_n", F.row_number().over(w))
-    own = first.groupBy(*item).agg(F.min(F.struct("_n", queue)).alias("_f")).select(*item, F.col(f"_f.{queue}").alias(queue))
-    d = df.join(own, [*item, queue], "left_semi").dropDuplicates([queue, *item])
-    return d.withColumn("round", F.row_number().over(w)).orderBy("round", queue, *order).limit(cap)
+    d = df.dropDuplicates([queue, *item]).withColumn("round", F.row_number().over(w)).where(F.col("round") <= 2 * cap)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        b = pd.concat(batches)
+        if not len(b):
+            return
+        queues = {q: list(zip(map(tuple, g[item].to_numpy()), g.index)) for q, g in b.reset_index(drop=True).groupby(queue, sort=True)}
+        b = b.reset_index(drop=True)
+        chosen, picked, at = set(), [], dict.fromkeys(queues, 0)
+        turn = 0
+        while len(picked) < cap:
+            turn, before = turn + 1, len(picked)
+            for q, rows in queues.items():
+                while at[q] < len(rows) and rows[at[q]][0] in chosen:
+                    at[q] += 1
+                if at[q] < len(rows) and len(picked) < cap:
+                    chosen.add(rows[at[q]][0])
+                    picked.append((rows[at[q]][1], turn))
+                    at[q] += 1
+            if len(picked) == before:
+                break
+        yield b.loc[[i for i, _ in picked]].assign(round=[t for _, t in picked])
+
+    return d.orderBy(queue, "round").coalesce(1).mapInPandas(walk, d.schema)
 
 
 def packed(df: DataFrame, keys: list[str], order: list[str], cost: str, budget: int) -> DataFrame:
@@ -55,21 +75,3 @@ def packed(df: DataFrame, keys: list[str], order: list[str], cost: str, budget:
             yield b[keep]
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(take, df.schema)
-
-
-def score(signals: DataFrame, keys: list[str], capped: dict[str, float], medium: float = 4, high: float = 7) -> DataFrame:
-    """Points of evidence summed by area, capped areas cut off, penalties taken away; floor 0, one decimal, confidence."""
-    area = lambda a: F.coalesce(F.sum(F.when(F.col("area") == a, F.col("points"))), F.lit(0.0))
-    plain = F.coalesce(F.sum(F.when(~F.col("area").isin("penalty", *capped), F.col("points"))), F.lit(0.0))
-    total: Column = plain - area("penalty")
-    for a, most in capped.items():
-        total = total + F.least(area(a), F.lit(float(most)))
-    strong = F.count_if(F.col("strength") == "strong")
-    weak = F.bool_and(F.col("rule").contains("name"))
-    s = signals.groupBy(*keys).agg(total.alias("raw"), strong.alias("strong"), weak.alias("naming_only"), F.count("*").alias("signals"))
-    x = F.when(F.col("naming_only"), F.least("raw", F.lit(medium - 0.1))).otherwise(F.col("raw"))
-    x = F.when((F.col("strong") == 0) & (x >= high), high - 0.1).otherwise(x)
-    x = F.floor(F.greatest(x, F.lit(0.0)) * 10 + 0.5) / 10
-    s = s.withColumn("score", x)
-    level = F.when(F.col("score") >= high, "high").when(F.col("score") >= medium, "medium").otherwise("low")
-    return s.withColumn("confidence", level).withColumn("detected", F.col("score") >= 1).drop("raw", "naming_only")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import json_string
+from graphloom.operators.intervals import maximal
 from graphloom.operators.sets import last_wins
 from graphloom.session import checkpoint
 
@@ -15,13 +15,14 @@ def unified(edges: DataFrame) -> DataFrame:
     return last_wins(edges.where("from_id <> to_id"), ["from_id", "to_id", "relation"], ["seq"], ["evidence"])
 
 
-def traverse(edges: DataFrame, targets: DataFrame, direction: str, depth: int = 3, most: int | None = None, external: str = "external:") -> DataFrame:
+def traverse(edges: DataFrame, targets: DataFrame, direction: str, depth: int = 3, most: int | None = None, external: str = "external:", free: DataFrame | None = None) -> DataFrame:
     """(id, distance, parent, relation) of what is reached from targets (id); edges are (from_id, to_id, relation).
 
     Breadth first, level by level: a frontier meets the edges by an equi-join, what
     is known is taken out by an anti-join, and of several parents the first by
     parent and relation is kept.  External nodes are reached but not left.  With
-    `most`, the nodes of the level that crosses it are kept by id.
+    `most`, the nodes of the level that crosses it are kept by id; nodes in `free`
+    (id) do not count.
     """
     a, b = ("to_id", "from_id") if direction == "incoming" else ("from_id", "to_id")
     e = edges.select(F.col(a).alias("parent"), F.col(b).alias("id"), "relation")
@@ -32,16 +33,17 @@ def traverse(edges: DataFrame, targets: DataFrame, direction: str, depth: int =
         hit = front.join(e, "parent").join(seen, "id", "left_anti").groupBy("id").agg(F.min(F.struct("parent", "relation")).alias("p"))
         level = hit.select("id", F.lit(d).alias("distance"), "p.parent", "p.relation")
         if left is not None:
-            level = level.orderBy("id").limit(left)
+            counted = level if free is None else level.join(free, "id", "left_anti")
+            counted = counted.orderBy("id").limit(left)
+            level = counted if free is None else counted.unionByName(level.join(free, "id", "left_semi"))
         level = checkpoint(level)
-        n = level.count()
-        if not n:
+        if not level.limit(1).count():
             break
         if left is not None:
-            left -= n
+            left -= (level if free is None else level.join(free, "id", "left_anti")).count()
         seen = seen.unionByName(level)
         out = level if out is None else out.unionByName(level)
-        if left == 0:
+        if left == 0 and free is None:
             break
     return out if out is not None else seen.limit(0)
 
@@ -51,16 +53,97 @@ def impact(edges: DataFrame, targets: DataFrame, depth: int = 3, most: int = 200
     both = ["incoming", "outgoing"] if direction == "both" else [direction]
     out, known, left = None, None, most
     for way in both:
-        r = traverse(edges, targets, way, depth, left).withColumn("direction", F.lit(way))
-        if known is not None and most is not None:
-            left -= r.join(known, "id", "left_anti").count()
-        elif most is not None:
+        r = traverse(edges, targets, way, depth, left, free=known).withColumn("direction", F.lit(way))
+        if most is not None:
             left = most - r.count()
         known = r.select("id")
         out = r if out is None else out.unionByName(r)
     return out
 
 
+def impacted(reached: DataFrame) -> DataFrame:
+    """(id, distance, directions, relations): one row per node of `impact`, nearest distance first."""
+    return reached.groupBy("id").agg(F.min("distance").alias("distance"), F.array_sort(F.collect_set("direction")).alias("directions"), F.array_sort(F.collect_set("relation")).alias("relations"))
+
+
+def steps(reached: DataFrame, depth: int = 3) -> DataFrame:
+    """(id, distance, steps): the edges of one shortest path of a traversal, from the target on."""
+    back = reached.select(F.col("id").alias("_at"), F.col("parent").alias("_up"), F.col("relation").alias("_r"))
+    one = lambda a, b, r: F.array(F.struct(a.alias("from_id"), b.alias("to_id"), r.alias("relation")))
+    p = reached.select("id", "distance", F.col("parent").alias("_p"), one(F.col("parent"), F.col("id"), F.col("relation")).alias("steps"))
+    for _ in range(depth - 1):
+        p = p.join(back, F.col("_p") == F.col("_at"), "left")
+        longer = F.concat(one(F.col("_up"), F.col("_p"), F.col("_r")), F.col("steps"))
+        p = p.select("id", "distance", F.col("_up").alias("_p"), F.when(F.col("_up").isNotNull(), longer).otherwise(F.col("steps")).alias("steps"))
+    return p.drop("_p")
+
+
+def with_endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes (id, name, kind), with those that only edges name added as external or unknown ones."""
+    ends = edges.select(F.col("from_id").alias("id")).union(edges.select("to_id")).distinct().join(nodes, "id", "left_anti")
+    own = F.col("id").startswith("external:")
+    return nodes.select("id", "name", "kind").unionByName(ends.select("id", F.when(own, F.substring("id", 10, 2**30)).otherwise(F.col("id")).alias("name"), F.when(own, "External").otherwise("Unknown").alias("kind")))
+
+
+def canonical(edges: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Edges with both ends replaced by the id that their alias (alias, id) stands for."""
+    for end in ("from_id", "to_id"):
+        a = aliases.select(F.col("alias").alias(end), F.col("id").alias("_id"))
+        edges = edges.join(a, end, "left").withColumn(end, F.coalesce("_id", end)).drop("_id")
+    return edges
+
+
+def property_edges(calls: DataFrame, references: DataFrame, records: DataFrame) -> DataFrame:
+    """Edges of the unified graph in their order: calls (id, calls), references (id, references), then definition-use records."""
+    c = calls.select(F.lit(0).alias("part"), F.col("id").alias("from_id"), F.explode("calls").alias("to_id"), F.lit("calls").alias("relation"), F.lit(None).cast("string").alias("evidence"))
+    r = references.select("id", F.explode("references").alias("r")).select(F.lit(1).alias("part"), F.col("id").alias("from_id"), F.col("r.id").alias("to_id"), F.lit("references").alias("relation"), F.col("r.name").alias("evidence"))
+    d = F.col("id").alias("from_id")
+    i = records.select(F.lit(2).alias("part"), d, F.explode("initializer.dependency_ids").alias("to_id"), F.lit("initializes_from").alias("relation"), F.concat("name", F.lit(" = "), F.col("initializer.defined_by")).alias("evidence"))
+    a = records.select("id", "name", F.explode("assignments").alias("a")).select("id", "name", "a.defined_by", F.explode("a.dependency_ids").alias("to_id"))
+    a = a.select(F.lit(3).alias("part"), d, "to_id", F.lit("assigned_from").alias("relation"), F.concat("name", F.lit(" = "), "defined_by").alias("evidence"))
+    u = records.select("id", "name", "owner", F.explode("read_sites").alias("s")).where("s.owner_id is not null")
+    u = u.select(F.lit(4).alias("part"), F.col("s.owner_id").alias("from_id"), F.col("id").alias("to_id"), F.lit("reads").alias("relation"), F.concat("owner", F.lit(" reads "), "name").alias("evidence"))
+    e = c.unionByName(r).unionByName(i).unionByName(a).unionByName(u).withColumn("seq", F.struct("part", F.monotonically_increasing_id()))
+    return unified(e)
+
+
+def evidence(edges: DataFrame, starts: DataFrame, depth: int, cap: int, beyond: bool) -> DataFrame:
+    """(start, from_id, to_id, relation, distance): edges met by a bounded traversal from each start (start, id), the first `cap` of each.
+
+    With `beyond`, nodes at the last distance are still left once more; that is the
+    one difference between the two families of detectors.
+    """
+    e = edges.select(F.col("from_id").alias("id"), "to_id", "relation")
+    seen = checkpoint(starts.select("start", "id").distinct())
+    front, out = seen, None
+    for d in range(1, depth + 1 + beyond):
+        hit = checkpoint(front.join(e, "id").select("start", F.col("id").alias("from_id"), "to_id", "relation", F.lit(d).alias("distance")))
+        out = hit if out is None else out.unionByName(hit)
+        front = checkpoint(hit.select("start", F.col("to_id").alias("id")).distinct().join(seen, ["start", "id"], "left_anti"))
+        if not front.limit(1).count():
+            break
+        seen = seen.unionByName(front)
+    n = F.row_number().over(Window.partitionBy("start").orderBy("distance", "from_id", "to_id", "relation"))
+    return out.withColumn("_n", n).where(F.col("_n") <= cap).drop("_n")
+
+
+def code_slice(declarations: DataFrame, edges: DataFrame, type_edges: DataFrame, targets: DataFrame, depth: int = 2, most: int = 50) -> dict[str, DataFrame]:
+    """Selections, outermost snippets, their link, and external boundaries around targets (id).
+
+    Supporting types come first and share one budget with the impacts.
+    Declarations are (id, file_path, start_off, end_off, external).
+    """
+    types = traverse(type_edges, targets, "outgoing", 64, most).select("id", F.lit("type").alias("role"), "distance")
+    left = most - types.count()
+    reached = impact(edges, targets, depth, left).select("id", F.col("direction").alias("role"), "distance")
+    sel = targets.select("id", F.lit("target").alias("role"), F.lit(0).alias("distance")).unionByName(types).unionByName(reached)
+    sel = checkpoint(sel.groupBy("id").agg(F.array_sort(F.collect_set("role")).alias("roles"), F.min("distance").alias("distance")))
+    own = sel.join(declarations.where("not external"), "id")
+    snippets = maximal(own.select("file_path", "start_off", "end_off"), ["file_path"], "start_off", "end_off").withColumn("snippet_id", F.concat_ws(":", "file_path", "start_off", "end_off"))
+    inside = own.select("id", "file_path", F.col("start_off").alias("_s"), F.col("end_off").alias("_e")).join(snippets, "file_path").where("start_off <= _s and _e <= end_off").select("id", "snippet_id")
+    return {"selections": sel, "snippets": snippets, "links": inside, "boundaries": sel.where(F.col("id").startswith("external:"))}
+
+
 def closure(edges: DataFrame, most: int = 64) -> DataFrame:
     """(from_id, to_id, distance): all reachable pairs, shortest first, until nothing new appears."""
     step = checkpoint(edges.select("from_id", "to_id").distinct())
@@ -99,26 +182,6 @@ def subtree_totals(parents: DataFrame, value: str) -> DataFrame:
     return parents.join(s, "id", "left").select("id", "parent", zero("direct").alias("direct"), zero("total").alias("total"), (F.col(value) + zero("below")).alias(value))
 
 
-def cypher(nodes: DataFrame, edges: DataFrame, label: str, relation: str) -> DataFrame:
-    """(seq, statement): a constraint, a MERGE per node (id, name), a MATCH and MERGE per edge."""
-    head = nodes.sparkSession.createDataFrame([(0, f"CREATE CONSTRAINT IF NOT EXISTS FOR (n:{label}) REQUIRE n.id IS UNIQUE;")], "seq int, statement string")
-    n = nodes.select(F.lit(1).alias("seq"), F.format_string(f"MERGE (n:{label} {{id: %s}}) SET n.name = %s;", json_string(F.col("id")), json_string(F.col("name"))).alias("statement"))
-    e = edges.select(F.lit(2).alias("seq"), F.format_string(f"MATCH (a:{label} {{id: %s}}), (b:{label} {{id: %s}}) MERGE (a)-[:{relation}]->(b);", json_string(F.col("from_id")), json_string(F.col("to_id"))).alias("statement"))
-    return head.unionByName(n).unionByName(e)
-
-
-def suffixes(name: str) -> list[str]:
-    parts = name.split(".")
-    return [".".join(parts[i:]) for i in range(len(parts))]
-
-
-def suffix_join(names: DataFrame, vocabulary: DataFrame, name: str, word: str, by: str = ".") -> DataFrame:
-    """Names that are a word or end with it after `by`: names are opened into suffixes, so it is an equi-join."""
-    p = F.split(name, by.replace(".", "\\."))
-    tails = F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.array_join(F.slice(p, i, F.size(p)), by))
-    return names.withColumn("_tail", F.explode(tails)).join(vocabulary, F.col("_tail") == F.col(word)).drop("_tail")
-
-
 def preorder(nodes: DataFrame, file: str, start: str, end: str) -> DataFrame:
     """Preorder numbers from 1 within each file, outer ranges first."""
     return nodes.withColumn("node_id", F.row_number().over(Window.partitionBy(file).orderBy(F.col(start).asc(), F.col(end).desc())))
