@@ -80,7 +80,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Turns with their escaped lengths, the marks of the template, and the order of roles as letters.
+_CHAT = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+  e AS (SELECT *, CAST(length(regexp_replace(replace(text, '\', '\\'), '<s>|\[ROLE\]|\[/ROLE\]|\[/TURN\]|<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]|\[ANS\]|</s>', 'x\0', 'g')) AS BIGINT)
+    + CASE role WHEN 'system' THEN 17 WHEN 'user' THEN 15 WHEN 'assistant' THEN 10 ELSE 7 + length(role) + 9 + 7 END AS chars,
+    CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END AS letter FROM c)
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(3 + sum(chars) AS BIGINT) AS formatted_chars,
+    regexp_full_match(string_agg(letter, '' ORDER BY turn, role, text), 's?u(au)*a?') AS valid FROM e GROUP BY conv_id"""
+
+ORACLE_SQL: dict[str, str] = {"op4_chat_format": _CHAT}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
