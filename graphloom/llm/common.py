@@ -38,6 +38,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dealt(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFrame, Column]:
+    """The right side and the condition of an equi-join of two frames of one lineage on a key that may be hot.
+
+    Where one side is an aggregate by the key, Spark joins it as it lies, and then
+    adaptive execution can't split a hot key's rows.  With a hash of the key as a
+    second key both sides are dealt for the join.  The right side's key comes out
+    under another name.
+    """
+    name, twin = f"_{key}", f"_{key}_"
+    r = right.withColumnRenamed(key, name).withColumn(twin, F.xxhash64(name))
+    return r, (left[key] == r[name]) & (F.xxhash64(left[key]) == r[twin])
+
+
 def hidden(df: DataFrame, *wanted: str) -> list[str]:
     """Names for helper columns that clash with no column of the input."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import checkpoint
+from graphloom.llm.common import checkpoint, dealt
 from graphloom.llm.components import components
 from graphloom.llm.minhash import bands, odd_sketch, samples, shingles
 
@@ -162,12 +162,12 @@ def links(df: DataFrame, sig: DataFrame, key: str, text: str, n: int, percent: i
     reps = reps.select("r.id", "r.h", "n", "keys", "sketch")
     hits = reps.select(F.explode("keys").alias("k"), "id")
     pivots = hits.groupBy("k").agg(F.min("id").alias("p"), F.max("id").alias("hi")).where("p < hi").select("k", "p")
-    star = hits.join(pivots, "k").select("p", "id").distinct()
+    star = hits.join(*dealt(hits, pivots, "k")).select("p", "id").distinct()
     star = checkpoint(star)
     # at most one pivot per band and document
+    size = reps.select("id", "n").join(star, "id").groupBy("p").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("nc"))
     rows = reps.select("id", "h", "n", "sketch").join(star, "id")
-    size = rows.groupBy("p").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("nc"))
-    rows = rows.join(size, "p")
+    rows = rows.join(*dealt(rows, size, "p"))
     chunks = F.when(F.col("id") == F.col("p"), F.sequence(F.lit(0), F.col("nc") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("nc")).cast("int")))
     wanted = rows.groupBy("id", "h").agg(F.first("sketch").alias("sketch"), F.collect_list(F.struct("p", "nc", chunks.alias("cs"))).alias("at"))
     docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
@@ -232,7 +232,8 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     sig = checkpoint(signatures(df, key, text, shingle))
     comp = components(links(df, sig, key, text, shingle, percent))
     rep = sig.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"))
-    d = sig.select("id", "h", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(rep, "digest", "left")
+    d = sig.select("id", "h", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
+    d = d.join(*dealt(d, rep, "digest"), "left")
     d = d.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     return d.select("id", "h", "n", F.coalesce("component", "rep", "id").alias("component"))
 
