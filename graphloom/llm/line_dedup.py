@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import dealt
+
 NO_ID = -(2**63)
 
 
@@ -73,10 +75,12 @@ def removals(df: DataFrame, key: str = "doc_id", text: str = "text", min_lines:
     # the bytes of candidates alone move on
     bodies = c.select("id", F.explode(F.transform("_chunks", lambda x: F.struct(x["k"].alias("k"), _body(x).alias("body")))).alias("c"))
     bodies = bodies.select("id", "c.k", F.xxhash64("c.body").alias("h"), "c.body")
-    bodies = bodies.join(often, "h", "left_semi")
-    first = bodies.groupBy("h", "body").agg(F.min(F.struct("id", "k")).alias("first"), F.max(F.struct("id", "k")).alias("last"))
-    first = first.where("first <> last").select("h", "body", "first")
-    return bodies.join(first, ["h", "body"]).where(F.struct("id", "k") != F.col("first")).select("id", "k", "h")
+    bodies = bodies.join(*dealt(bodies, often, "h"), "left_semi").withColumn("g", F.xxhash64("h"))
+    # by another name for the hash, rows are summed up before they are dealt anew
+    first = bodies.groupBy("g", "body").agg(F.min(F.struct("id", "k")).alias("first"), F.max(F.struct("id", "k")).alias("last"))
+    first = first.where("first <> last").select(F.col("g").alias("_g"), F.col("body").alias("_body"), "first")
+    r, same = dealt(bodies, first.withColumnRenamed("_g", "g"), "g")
+    return bodies.join(r, same & (F.col("body") == F.col("_body"))).where(F.struct("id", "k") != F.col("first")).select("id", "k", "h")
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = 2, counts: bool = False) -> DataFrame:
