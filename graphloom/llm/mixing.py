@@ -29,11 +29,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import checkpoint, word_count
+from graphloom.llm.common import checkpoint, dealt, word_count
 
 WEIGHTS = (5, 2, 1)
 #: Share of all words that the mix is to hold, and the most copies of a source.
 SHARE, MOST = 1.5, 2
+#: Sources whose table of a few numbers goes to every executor; more are joined by key.
+MOST_SOURCES = 20_000
 #: Documents of a block, on average.
 BLOCK = 256
 #: Shares of a source's documents, by size, at which the next tier begins.
@@ -126,8 +128,9 @@ def plan(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "
     t = targets(d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), F.percentile_approx("size", list(TIERS)).alias("cuts")), share=share, most=most)
     t = checkpoint(t.withColumn("src", F.xxhash64("source")))
     p = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    # the table of sources is an aggregate; Spark broadcasts it only by its measured size
-    x = d.join(t.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    s = t.agg(F.max("n").alias("most"), F.count("*").alias("sources")).first()
+    small = F.broadcast if s["sources"] <= MOST_SOURCES else (lambda df: df)
+    x = d.join(small(t.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     x = x.withColumn("whole", F.floor(p + EPS).cast("int")).withColumn("p", p - F.col("whole"))
     x = x.withColumn("open", (F.col("p") > EPS) & (F.col("size") > 0))
     n_of = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK))
@@ -137,8 +140,7 @@ def plan(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "
     for k in range(len(TIERS)):
         tier = tier + (F.col("size") <= F.get(F.col("cuts"), F.lit(k))).cast("int")
     level = level.select("src", "b", tier.alias("tier"), item.alias("x"))
-    most_n = t.agg(F.max("n")).first()[0] or 0
-    blocks = max(1, math.ceil(most_n / BLOCK))
+    blocks = max(1, math.ceil((s["most"] or 0) / BLOCK))
     settled = None
     for k in range(len(TIERS) + 1):
         own = level.where(F.col("tier") == k).select("src", "b", "x")
@@ -150,7 +152,9 @@ def plan(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "
         rest = level.groupBy("src").agg(F.sum(F.when(F.col("tier") == k, F.col("x.p") * F.col("x.s"))).alias("want"), F.sum(F.when(F.col("tier") > k, F.col("x.s"))).alias("room"))
         shift = rest.join(got, "src").select("src", ((F.col("want") - F.col("got")) / F.col("room")).alias("shift"))
         moved = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("x.p") + F.coalesce("shift", F.lit(0.0))))
-        level = level.where(F.col("tier") > k).join(shift, "src", "left").withColumn("x", F.col("x").withField("p", moved)).drop("shift")
+        level = level.where(F.col("tier") > k)
+        # a few numbers per source: rows of a hot source stay where they are
+        level = (level.join(small(shift), "src", "left") if s["sources"] <= MOST_SOURCES else level.join(*dealt(level, shift, "src"), "left")).withColumn("x", F.col("x").withField("p", moved)).select("src", "b", "tier", "x")
     settled = settled.select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("o").alias("_o"), "c")
     out = x.join(settled, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")) & (F.col("o") == F.col("_o")), "left")
     copies = F.when(F.col("size") == 0, 0).otherwise(F.col("whole") + F.coalesce(F.col("c"), F.lit(0)))
