@@ -35,7 +35,7 @@ CELLS = 12
 #: Cells per paragraph of both texts in a first try, tries, and rounds of peeling.
 ROOM, TRIES, ROUNDS = 1.5, 4, 24
 #: Documents next to each other by id that one task orders, on average.
-NEIGHBOURS = 4_000
+NEIGHBOURS = 1_000
 #: Most ranges of ids; so many rows of four numbers go to every executor.
 MOST_RANGES = 50_000
 
