@@ -92,7 +92,17 @@ _CHAT = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesc
     CAST(3 + sum(chars) AS BIGINT) AS formatted_chars,
     regexp_full_match(string_agg(letter, '' ORDER BY turn, role, text), 's?u(au)*a?') AS valid FROM e GROUP BY conv_id"""
 
-ORACLE_SQL: dict[str, str] = {"op4_chat_format": _CHAT}
+#: Sets of two-word shingles, links by their intersections, reachability.
+_NEAR = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  s AS MATERIALIZED (SELECT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END) AS s FROM w),
+  n AS MATERIALIZED (SELECT w.doc_id, count(s.s) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id),
+  p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+  l AS (SELECT a, b FROM p JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE 100 * c >= 80 * (u.n + v.n - c)),
+  e AS MATERIALIZED (SELECT a AS u, b AS v FROM l UNION ALL SELECT b, a FROM l),
+  r AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.id)
+  SELECT n.doc_id, n.n AS n_shingles, min(r.c) AS component_id, n.doc_id = min(r.c) AS kept FROM n JOIN r ON r.id = n.doc_id GROUP BY n.doc_id, n.n"""
+
+ORACLE_SQL: dict[str, str] = {"op1_near_dup": _NEAR, "op4_chat_format": _CHAT}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,6 +5,7 @@ import pytest
 from graphloom.llm import near_dup, queries
 from graphloom.llm.minhash import odd_sketch, samples, shingles
 from tests.llm.cases import SF, documents, frame
+from tests.oracle import both
 
 
 def sets(rows, n):
@@ -42,6 +43,12 @@ def test_against_all_pairs(spark, monkeypatch, chunk):
     assert got == want
 
 
+def test_same_rows_as_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    (cols, ours), (names, theirs) = both(spark, sf, queries.op1_near_dup, queries.ORACLE_SQL["op1_near_dup"])
+    assert cols == names and ours == theirs
+
+
 def test_chain_and_large_group(spark):
     """A chain of texts, each near the next alone, is one group; so is a crowd around one text."""
     base = [f"w{i}" for i in range(100)]
