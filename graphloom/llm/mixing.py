@@ -125,7 +125,7 @@ def plan(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "
     d = df.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text), F.col(source)).alias("h"), word_count(F.col(text)).alias("size"), F.col(source).cast("string").alias("source"))
     d = d.withColumn("o", F.row_number().over(Window.partitionBy("id", "h").orderBy("size")).cast("int"))
     d = checkpoint(d)
-    t = targets(d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), F.percentile_approx("size", list(TIERS)).alias("cuts")), share=share, most=most)
+    t = targets(d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), F.percentile("size", F.array(*[F.lit(x) for x in TIERS])).alias("cuts")), share=share, most=most)
     t = checkpoint(t.withColumn("src", F.xxhash64("source")))
     p = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     s = t.agg(F.max("n").alias("most"), F.count("*").alias("sources")).first()
@@ -149,7 +149,8 @@ def plan(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "
         if k == len(TIERS):
             break
         got = part.groupBy("src").agg(F.sum(F.col("c") * F.col("s")).alias("got"))
-        rest = level.groupBy("src").agg(F.sum(F.when(F.col("tier") == k, F.col("x.p") * F.col("x.s"))).alias("want"), F.sum(F.when(F.col("tier") > k, F.col("x.s"))).alias("room"))
+        # a source's documents share one probability: times whole words, its sum does not depend on their order
+        rest = level.groupBy("src").agg((F.max("x.p") * F.sum(F.when(F.col("tier") == k, F.col("x.s")))).alias("want"), F.sum(F.when(F.col("tier") > k, F.col("x.s"))).alias("room"))
         shift = rest.join(got, "src").select("src", ((F.col("want") - F.col("got")) / F.col("room")).alias("shift"))
         moved = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("x.p") + F.coalesce("shift", F.lit(0.0))))
         level = level.where(F.col("tier") > k)

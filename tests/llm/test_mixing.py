@@ -74,6 +74,13 @@ def test_expectation_is_kept(spark):
     assert abs(got["b"] / n - target) < 3 or abs(got["a"] / n - target) < 3
 
 
+def test_reruns_agree_however_rows_lie(spark):
+    """Other partitions, other orders of summation: the same copies."""
+    d = spark.range(4000).select(F.col("id").alias("doc_id"), F.array_join(F.array_repeat(F.lit("w"), (F.col("id") * F.col("id") % 97 + 1).cast("int")), " ").alias("text"), F.concat(F.lit("s"), (F.col("id") % 4).cast("string")).alias("source"))
+    runs = [sorted((r.doc_id, r.copies) for r in mixing.plan(x).collect()) for x in (d, d.repartition(5, F.rand(3)), d.orderBy(F.desc("doc_id")).repartition(23))]
+    assert runs[0] == runs[1] == runs[2]
+
+
 def test_awkward_rows(spark):
     d = frame(spark)
     p = mixing.plan(d)
