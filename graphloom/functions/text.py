@@ -162,4 +162,4 @@ def retry_after_ms(header: Column, remaining: Column, reset_s: Column, now_s: Co
     seconds = header.try_cast("double")
     date = F.try_to_timestamp(F.regexp_extract(header, r"(\d{2} \w{3} \d{4} \d{2}:\d{2}:\d{2})", 1), F.lit("dd MMM yyyy HH:mm:ss")).cast("double")
     rate = F.when((remaining == "0") & (reset_s > 0), F.greatest(F.lit(1000.0), (reset_s - now_s) * 1000 + 1000))
-    return F.coalesce(F.when(seconds >= 0, seconds * 1000), F.greatest(F.lit(0.0), (date - now_s) * 1000), rate)
+    return F.coalesce(F.when(seconds >= 0, seconds * 1000), F.when(date.isNotNull(), F.greatest(F.lit(0.0), (date - now_s) * 1000)), rate)

@@ -142,7 +142,7 @@ def utf16(s: str, i: int) -> int:
     return i if s.isascii() else len(s[:i].encode("utf-16-le", "surrogatepass")) // 2
 
 
-_CALLABLE = re.compile(r"^(if|for|while|switch|catch|function|return|typeof|new|super|await|import|require|constructor)$")
+_CALLABLE = re.compile(r"^(if|for|while|switch|catch|function|return|typeof|new|super|await|async|import|require|constructor)$")
 
 
 def declarations(s: str) -> list[tuple[str, str, str, int, int, int, int]]:

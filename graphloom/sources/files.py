@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import excluded, is_declaration_path, is_source_path, is_test_path, matches_glob, safe_path
@@ -21,15 +21,18 @@ def described(files: DataFrame) -> DataFrame:
     return files.select("path", t.alias("text"), F.sha2("text", 256).alias("sha256"), is_test_path(F.col("path")).alias("is_test"), is_declaration_path(F.col("path")).alias("is_declaration"))
 
 
-def text_files(spark: SparkSession, root: str, globs: list[str] | None = None, exclude: tuple[str, ...] = ("node_modules",), required: bool = False) -> DataFrame:
-    """Files below a folder with paths relative to it; text files with a NUL byte are left out."""
-    b = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def relative(spark: SparkSession, root: str) -> Column:
+    """The column `path` below a folder; Spark and Hadoop print local paths with one or three slashes."""
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
-    # Spark and Hadoop print local paths with one or three slashes
-    path = F.regexp_replace("path", "^file:/+", "file:/")
     prefix = (base if not base.startswith("file:") else "file:/" + base.removeprefix("file:").lstrip("/")) + "/"
-    files = b.where(F.expr("position(unhex('00') IN content) = 0")).select(F.replace(path, F.lit(prefix), F.lit("")).alias("path"), F.decode("content", "UTF-8").alias("text"))
+    return F.replace(F.regexp_replace("path", "^file:/+", "file:/"), F.lit(prefix), F.lit(""))
+
+
+def text_files(spark: SparkSession, root: str, globs: list[str] | None = None, exclude: tuple[str, ...] = ("node_modules",), required: bool = False) -> DataFrame:
+    """Files below a folder with paths relative to it; text files with a NUL byte are left out."""
+    b = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = b.where(F.expr("position(unhex('00') IN content) = 0")).select(relative(spark, root).alias("path"), F.decode("content", "UTF-8").alias("text"))
     files = files.where(~excluded(F.col("path"), *exclude)) if exclude else files
     if globs:
         if required:
@@ -72,6 +75,6 @@ def documentation(files: DataFrame) -> DataFrame:
     return allowed(files).where(F.col("path").rlike(r"(?i)^(readme|contributing)[^/]*$|^docs/.*\.md$"))
 
 
-def tidy(text):
+def tidy(text: Column) -> Column:
     """Line feeds alone, none at the end."""
     return F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), r"\n+$", "")

@@ -10,14 +10,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.sources.files import relative
+
 IGNORED = ("node_modules", ".git", ".DS_Store")
 
 
 def listing(spark: SparkSession, root: str, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
     """Relative paths of all files below a folder; no file is opened."""
     b = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    tail = F.regexp_replace("path", f"^.*?{re.escape(root.rstrip('/').split('://')[-1].rsplit('/', 1)[-1])}/", "")
-    d = b.select(tail.alias("path"))
+    d = b.select(relative(spark, root).alias("path"))
     return d.where(~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(x) for x in ignored])))
 
 
