@@ -57,17 +57,22 @@ class _Tree(HTMLParser):
 
 
 def html_nodes(df: DataFrame, key: str, html: str) -> DataFrame:
-    """All nodes of each page; one page is held at a time."""
+    """All nodes of each page; a worker holds one batch of pages and a few thousand nodes."""
     kind = df.schema[key].dataType.simpleString()
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = lambda rows: pd.DataFrame(rows, columns=[key, "node_id", "parent_id", "ordinal", "depth", "kind", "subtree_end", "value", "attrs"]).astype({"parent_id": "Int64"})
         for b in batches:
+            out = []
             for k, t in zip(b[key], b[html]):
                 tree = _Tree()
                 tree.feed(t or "")
                 tree.close()
-                rows = tree.done()
-                if rows:
-                    yield pd.DataFrame([(k, *r) for r in rows], columns=[key, "node_id", "parent_id", "ordinal", "depth", "kind", "subtree_end", "value", "attrs"]).astype({"parent_id": "Int64"})
+                out += [(k, *r) for r in tree.done()]
+                if len(out) >= 5_000:
+                    yield frame(out)
+                    out = []
+            if out:
+                yield frame(out)
 
     return df.select(key, html).mapInPandas(walk, f"`{key}` {kind}, {NODE}")

@@ -16,6 +16,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.session import checkpoint
+
 _PART = re.compile(r"""\s*(?:(?P<comb>[>+~,])|(?P<kind>[#\w-]+|\*)|\[\s*(?P<attr>[\w.:-]+)\s*(?:(?P<op>[~^$*]?=)\s*(?:"(?P<q>[^"]*)"|'(?P<s>[^']*)'|(?P<v>[^\]\s]+))\s*)?\]|:(?P<pseudo>[\w-]+)(?P<paren>\()?)""")
 
 
@@ -149,7 +151,7 @@ class _Compiler:
 
 
 def select(nodes: DataFrame, key: str, selector: str) -> DataFrame:
-    """The nodes that match, with the columns of the node table."""
-    c = _Compiler(nodes, key)
+    """The nodes that match, with the columns of the node table; a child step meets the table itself, which is then written once."""
+    c = _Compiler(checkpoint(nodes) if ">" in selector else nodes, key)
     name = c.any(selector)
     return c.d.where(name).select(nodes.columns)
