@@ -1,24 +1,27 @@
 """Removal of repeated runs of lines.
 
-Lines are hashed, a rolling hash covers each line with the one before it, and a
-chunk ends where that rolling hash is a strict local minimum.  The cut depends on
-the three lines around it alone, so an insertion elsewhere in a text does not move
-it, and two cuts are never neighbours: all chunks inside a text have two lines or
-more.  Chunks of `min_lines` or more that occur more than once in the corpus are
-compared byte for byte, and every occurrence but the first, by document id and
-then place, is removed.
-
-Two equal hashes are only candidates: rows meet under the hash and the bytes.  No
-group is ever gathered; both aggregations combine before their shuffle, and joins
-on a hot chunk are plain equi-joins that adaptive execution can split.
+Every `min_lines` lines that follow one another are a window.  A window whose bytes
+stand earlier in the corpus, by document id, text hash and place, is cut, unless
+the two overlap.  A repeated run of `min_lines` or more is covered by such windows
+from its first line to its last, wherever it stands and whatever is around it, so
+it goes as a whole; shorter ones stay.  The first occurrence of a line is in no
+window that stands earlier, so no line is lost from the corpus.
+
+Equal hashes are only candidates: windows are summed up under two hashes and their
+bytes, and hashes (96 bits) that two differing windows share cut nothing.  No group
+is ever gathered; aggregations combine before their shuffle, and joins on a hot
+window are plain equi-joins that adaptive execution can split.
 
 Defined results: a null text stays null and an empty one empty; a text that loses
 all its lines becomes empty but keeps its row; rows with the same document id and
-text count as one document; null ids sort first; other columns pass through.
+text count as one document, differing texts under one id (or none) as several; null
+ids sort first; other columns pass through.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,80 +30,63 @@ from graphloom.llm.common import dealt
 NO_ID = -(2**63)
 
 
-def _rolling(h: str) -> Column:
-    """Hash of each line with its predecessor; the first line has no predecessor."""
-    return F.transform(h, lambda x, i: F.xxhash64(F.coalesce(F.get(F.col(h), i - 1), F.lit(0)), x))
-
-
-def _ends(r: str) -> Column:
-    """Indexes of the last lines of chunks."""
-    at = lambda i: F.get(F.col(r), i)
-    n = F.size(r)
-    cut = F.filter(
-        F.transform(r, lambda x, i: F.when((x < at(i - 1)) & (x < at(i + 1)), i)),
-        lambda i: i.isNotNull() & (i > 0) & (i < n - 1),
-    )
-    return F.concat(cut, F.array(n - 1))
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x computed once although f uses it in a lambda."""
+    return F.get(F.transform(F.array(x), f), 0)
 
 
-def chunks(df: DataFrame, text: str = "text", min_lines: int = 2) -> DataFrame:
-    """Add `_lines` and `_chunks`, an array of (k, start, n) with n lines from `start`, for chunks of `min_lines` or more."""
-    df = df.withColumn("_lines", F.split(text, "\n"))
-    df = df.withColumn("_h", F.transform("_lines", lambda x: F.xxhash64(x)))
-    df = df.withColumn("_h", _rolling("_h"))
-    df = df.withColumn("_h", _ends("_h"))
-    spans = F.transform(
-        "_h",
-        lambda e, k: F.struct(
-            k.alias("k"),
-            (F.coalesce(F.get(F.col("_h"), k - 1), F.lit(-1)) + 1).alias("start"),
-            (e - F.coalesce(F.get(F.col("_h"), k - 1), F.lit(-1))).alias("n"),
-        ),
-    )
-    return df.withColumn("_chunks", F.filter(spans, lambda c: c["n"] >= min_lines)).drop("_h")
+def _windows(text: Column, m: int) -> Column:
+    """Hashes of all windows of m lines, by the line that they start at."""
+    hashes = F.transform(F.split(text, "\n"), lambda x: F.xxhash64(x))
+    each = lambda h: F.transform(F.slice(h, 1, F.greatest(F.size(h) - (m - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, m)]))
+    return _let(hashes, each)
 
 
-def _body(c: Column) -> Column:
-    return F.array_join(F.slice("_lines", c["start"] + 1, c["n"]), "\n")
+def _bodies(text: Column, at: Column, m: int) -> Column:
+    """(k, body) of the windows that start at the given lines."""
+    return _let(F.split(text, "\n"), lambda ls: F.transform(at, lambda k: F.struct(k.alias("k"), F.array_join(F.slice(ls, k + 1, m), "\n").alias("body"))))
 
 
 def removals(df: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = 2) -> DataFrame:
-    """(id, k, h) of chunk occurrences that repeat an earlier one."""
-    c = chunks(df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text")).where(F.col(text).isNotNull()), "text", min_lines)
-    # hashes and sizes alone find the candidates
-    keys = c.select("id", F.explode(F.transform("_chunks", lambda x: F.struct(x["k"].alias("k"), F.xxhash64(_body(x)).alias("h")))).alias("c"))
-    keys = keys.select("id", "c.k", "c.h")
-    often = keys.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("k").alias("klo"), F.max("k").alias("khi"))
-    often = often.where((F.col("lo") < F.col("hi")) | (F.col("klo") < F.col("khi"))).select("h")
+    """(id, t, k): windows from line k that repeat an earlier one, in the text of hash t under an id."""
+    c = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("t"), F.col(text).alias("text")).where(F.col(text).isNotNull())
+    # hashes alone find the candidates
+    keys = c.select("id", "t", F.posexplode(_windows(F.col("text"), min_lines)).alias("k", "h"))
+    ends = [f(x).alias(f"{n}_{x}") for x in ("id", "t", "k") for n, f in (("lo", F.min), ("hi", F.max))]
+    often = keys.groupBy("h").agg(*ends).where("lo_id < hi_id OR lo_t < hi_t OR lo_k < hi_k").select("h")
+    at = keys.join(*dealt(keys, often, "h"), "left_semi").groupBy("id", "t").agg(F.collect_set("k").alias("at"))
     # the bytes of candidates alone move on
-    bodies = c.select("id", F.explode(F.transform("_chunks", lambda x: F.struct(x["k"].alias("k"), _body(x).alias("body")))).alias("c"))
-    bodies = bodies.select("id", "c.k", F.xxhash64("c.body").alias("h"), "c.body")
-    bodies = bodies.join(*dealt(bodies, often, "h"), "left_semi").withColumn("g", F.xxhash64("h"))
-    # by another name for the hash, rows are summed up before they are dealt anew
-    first = bodies.groupBy("g", "body").agg(F.min(F.struct("id", "k")).alias("first"), F.max(F.struct("id", "k")).alias("last"))
-    first = first.where("first <> last").select(F.col("g").alias("_g"), F.col("body").alias("_body"), "first")
-    r, same = dealt(bodies, first.withColumnRenamed("_g", "g"), "g")
-    return bodies.join(r, same & (F.col("body") == F.col("_body"))).where(F.struct("id", "k") != F.col("first")).select("id", "k", "h")
+    bodies = c.join(at, ["id", "t"]).select("id", "t", F.explode(_bodies(F.col("text"), F.col("at"), min_lines)).alias("b"))
+    bodies = bodies.select("id", "t", "b.k", "b.body").withColumn("h", F.xxhash64("body")).withColumn("g", F.hash("body"))
+    # rows are summed up with their bytes before they are dealt anew; hashes that one body alone has stand for it
+    place = F.struct("id", "t", "k")
+    first = bodies.groupBy("h", "g", "body").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    first = first.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+    first = first.where("n = 1 AND first <> last").select("h", F.col("g").alias("_g"), "first")
+    r, same = dealt(bodies.drop("body"), first, "h")
+    own = (F.col("id") == F.col("first.id")) & (F.col("t") == F.col("first.t"))
+    again = bodies.drop("body").join(r, same & (F.col("g") == F.col("_g")))
+    return again.where(~own | (F.col("k") >= F.col("first.k") + min_lines)).select("id", "t", "k")
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = 2, counts: bool = False) -> DataFrame:
-    """The input's rows with repeated chunks cut out of their texts.
+    """The input's rows with repeated runs of lines cut out of their texts.
 
     With `counts`, columns n_lines and n_removed (lines before, lines cut) follow.
     """
-    gone = removals(df, key, text, min_lines).groupBy("id").agg(F.collect_set(F.struct("k", "h")).alias("_gone"))
+    gone = removals(df, key, text, min_lines).groupBy("id", "t").agg(F.collect_set("k").alias("_gone"))
     cols = df.columns
     d = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
     k, t = f"c{cols.index(key)}", f"c{cols.index(text)}"
-    d = d.withColumn("_id", F.coalesce(F.col(k).cast("long"), F.lit(NO_ID))).join(gone, F.col("_id") == gone["id"], "left")
+    d = d.withColumn("_id", F.coalesce(F.col(k).cast("long"), F.lit(NO_ID))).withColumn("_t", F.xxhash64(t))
+    d = d.join(gone, (F.col("_id") == gone["id"]) & (F.col("_t") == gone["t"]), "left")
     # only texts that lose something are cut up again
-    d = chunks(d.withColumn("_t", F.when(F.col("_gone").isNotNull(), F.col(t))), "_t", 1)
-    kept = F.filter("_chunks", lambda c: ~F.array_contains("_gone", F.struct(c["k"].alias("k"), F.xxhash64(_body(c)).alias("h"))))
-    d = d.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
-    cut = F.array_join(F.transform("_kept", _body), "\n")
+    lost = F.flatten(F.transform("_gone", lambda k: F.sequence(k, k + (min_lines - 1))))
+    left = lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), lost), lambda i: F.get(ls, i))
+    d = d.withColumn("_kept", F.when(F.col("_gone").isNotNull(), _let(F.split(t, "\n"), left)))
+    cut = F.array_join("_kept", "\n")
     out = [F.col(f"c{i}").alias(c) if c != text else F.when(F.col("_kept").isNotNull(), cut).otherwise(F.col(t)).alias(c) for i, c in enumerate(cols)]
     if counts:
         n = F.coalesce(F.size(F.split(t, "\n")), F.lit(0))
-        left = F.aggregate("_kept", F.lit(0), lambda a, c: a + c["n"])
-        out += [n.cast("long").alias("n_lines"), F.coalesce(n - left, F.lit(0)).cast("long").alias("n_removed")]
+        out += [n.cast("long").alias("n_lines"), F.coalesce(n - F.size("_kept"), F.lit(0)).cast("long").alias("n_removed")]
     return d.select(*out)

@@ -70,3 +70,39 @@ def test_awkward_rows(spark):
     rows = [(r.doc_id, r.text) for r in out.collect()]
     assert (1, None) in rows and (2, "") in rows and len(rows) == d.count()
     assert line_dedup.dedup(d.limit(0)).count() == 0
+
+
+def whole(rows):
+    """All windows of two lines that stand earlier, without overlap, are cut."""
+    first, out = {}, {}
+    for i, t in sorted(rows):
+        lines, cut = t.split("\n"), set()
+        for p in range(len(lines) - 1):
+            f = first.setdefault((lines[p], lines[p + 1]), (i, p))
+            if f[0] != i or p >= f[1] + 2:
+                cut |= {p, p + 1}
+        out[i] = "\n".join(x for p, x in enumerate(lines) if p not in cut)
+    return out
+
+
+def test_whole_runs(spark):
+    rows = [(r.doc_id, r.text) for r in documents(spark).collect()]
+    assert {r.doc_id: r.text for r in queries.op3_line_dedup(spark, SF).collect()} == whole(rows)
+
+
+def test_passages_of_any_length(spark):
+    """A shared passage of two lines or more goes from its first line to its last, its first occurrence stays."""
+    sizes, rows = [1, 2, 3, 4, 5, 6, 10, 20], []
+    for n in sizes:
+        shared = [f"passage {n} line {i}" for i in range(n)]
+        rows += [(100 * n + i, "\n".join([*(f"own {n} {i} {j}" for j in range(3 + i)), *shared, f"end {n} {i}"]), "en", "a", 1) for i in range(4)]
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.dedup(frame(spark, rows)).collect()}
+    for i, t, *_ in rows:
+        kept = i % 100 == 0 or i < 200
+        assert got[i] == [x for x in t.split("\n") if kept or not x.startswith("passage")]
+
+
+def test_overlap_and_missing_ids(spark):
+    rows = [(1, "a\na\na\na\na", "en", "a", 1), (2, "b\nb\nb", "en", "a", 1), (None, "x\ny\nz1", "en", "a", 1), (None, "x\ny\nz2", "en", "a", 1)]
+    got = sorted(r.text for r in line_dedup.dedup(frame(spark, rows)).collect())
+    assert got[:2] == ["a\na", "b\nb\nb"] and sum(x.startswith("x\ny") for x in got) == 1 and sum(x in ("z1", "z2") for x in got) == 1
