@@ -97,3 +97,16 @@ def test_contexts_find_unseen_identifiers(spark):
     got = {r.doc_id: r for r in pii.find(frame(spark, rows)).collect()}
     assert got[500].n_found == 1 and got[501].n_found == 0
     assert all(got[100 + i].n_found == 0 for i in range(40)) and all(got[i].n_email == 1 and got[i].n_found == 0 for i in range(40))
+
+
+def test_secrets_of_letters_alone():
+    """No digit and none of =:_+/ : found by their surroundings; prose next to cues is left alone."""
+    c = secret_scan.model()
+    secrets = ["kQzWvTnBxRmLpJhGfDsAyUcE", "correct-horse!battery.Staple", "PlMoKnIjBuHvYgCtFxRdZe"]
+    for x in secrets:
+        for form in (f"Authorization: Bearer {x}", f"Note that the password is {x} as agreed", f"client_secret: {x}"):
+            assert [form[s:e] for s, e in secret_scan.tagged(form, c)] == [x], form
+    for prose in ("The password is required for all users.", "She gave a token of thanks, and the key is well-known here.", "Und die Arbeit ist einfach, sagt der Lehrer."):
+        assert secret_scan.tagged(prose, c) == []
+    for x in ("Straße", "password:", "'kQzWvTnBxRm'", "ONRE!!", "ǅungla"):
+        assert "words_only" in (names := {secret_scan.FEATURES[i] for i in secret_scan.shape(x)}) and ("cue" in names) == ("pass" in x) and ("case_turns" in names) == ("kQ" in x)
