@@ -14,7 +14,7 @@ The graph is kept as counts: occurrences per (pattern, instance) are summed befo
 they are shuffled, so a pattern that holds a third of all rows is a few rows per
 task.  Nothing of it is collected.
 
-A pattern needs two words or one cue that seeds share at least `SUPPORT` times with
+A pattern has one word or two, the ends of the line included, that seeds share at least `SUPPORT` times with
 different instances, so chance neighbours in prose teach nothing.
 
 Defined results: a null text is empty; repeated rows count again and give their
@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import xxhash
@@ -62,17 +62,42 @@ _DIGIT = re.compile(r"[0-9]|\[at\]|\(at\)")
 _WORD = re.compile(r"[^\W\d_]+|[:=#]")
 
 
+def _context(part: str) -> list[str]:
+    return [w.lower() for w in _WORD.findall(part)]
+
+
+def _nearest(part: Callable[[int], str], line: Callable[[str], str], most: int, whole: Callable[[list[str]], list[str]]) -> list[str]:
+    """Words of the line beside an occurrence, looked for in growing parts of 1024 characters at most; the outermost may be cut, so it goes unless the line ends there."""
+    n = 64
+    while True:
+        x = part(n)
+        if "\n" in x or n >= most:
+            return _context(line(x))
+        words = whole(_context(x))
+        if len(words) > 1 or n >= 1024:
+            return words
+        n *= 2
+
+
 def patterns(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns of an occurrence: words within its line, in lower case."""
-    left = _WORD.findall(text[max(0, start - 60) : start].rsplit("\n", 1)[-1])[-2:]
-    right = _WORD.findall(text[end : end + 60].split("\n", 1)[0])[:2]
-    left, right = [w.lower() for w in left], [w.lower() for w in right]
+    """Lexical patterns of an occurrence: whole words within its line, in lower case, `^` and `$` where the line ends.
+
+    Two words, one word, and one on either side; the line's end alone is no pattern.
+    """
+    left = _nearest(lambda n: text[max(0, start - n) : start], lambda x: x.rsplit("\n", 1)[-1], start, lambda w: w[1:])
+    right = _nearest(lambda n: text[end : end + n], lambda x: x.split("\n", 1)[0], len(text) - end, lambda w: w[:-1])
+    left = left[-2:] if len(left) > 1 else ["^", *left]
+    right = right[:2] if len(right) > 1 else [*right, "$"]
     out = []
     if len(left) == 2:
         out.append(f"{left[0]} {left[1]} _")
     if len(right) == 2:
         out.append(f"_ {right[0]} {right[1]}")
-    if left and right:
+    if left[-1] != "^":
+        out.append(f"{left[-1]} _")
+    if right[0] != "$":
+        out.append(f"_ {right[0]}")
+    if out:
         out.append(f"{left[-1]} _ {right[0]}")
     return out
 

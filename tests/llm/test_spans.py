@@ -110,3 +110,14 @@ def test_secrets_of_letters_alone():
         assert secret_scan.tagged(prose, c) == []
     for x in ("Straße", "password:", "'kQzWvTnBxRm'", "ONRE!!", "ǅungla"):
         assert "words_only" in (names := {secret_scan.FEATURES[i] for i in secret_scan.shape(x)}) and ("cue" in names) == ("pass" in x) and ("case_turns" in names) == ("kQ" in x)
+
+
+def test_one_word_contexts(spark):
+    """One word before and none after in the line teaches and is found; contexts are whole words."""
+    rows = [(i, f"Header {i}\nSSN user{i}@host{i}.example.com\nfooter", "en", "a", 0) for i in range(40)]
+    rows += [(500, "Header\nSSN 123-45-6789\nfooter", "en", "a", 0), (501, "Total 123-45-6789\nfooter", "en", "a", 0)]
+    got = {r.doc_id: r.n_found for r in pii.find(frame(spark, rows)).collect()}
+    assert got[500] == 1 and got[501] == 0
+    long = "x" * 80
+    assert f"{long} _" in pii.patterns(f"{long} 12345 ", 81, 86) and f"_ {long} $" in pii.patterns(f"12345 {long}", 0, 5)
+    assert pii.patterns("12345", 0, 5) == []
