@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: ASCII white space as the corpus contracts define it; anything else belongs to a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,11 +26,37 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
+#: Rows of an Arrow batch that are Python objects at once.
+SLICE = 128
+
+
+def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]], schema: str) -> DataFrame:
+    """Rows through a Python function that gives any number of rows for each; `make` is called once per task.
+
+    An Arrow batch may hold 10,000 whole texts: they become Python strings `SLICE` at
+    a time, and what they give goes on before the next ones come.
+    """
+    out_schema = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for b in batches:
+            for i in range(0, b.num_rows, SLICE):
+                part = b.slice(i, SLICE)
+                out = [y for x in zip(*(c.to_pylist() for c in part.columns)) for y in f(*x)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), out_schema)], schema=out_schema)
+
+    return df.mapInArrow(run, schema)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; where it names none (tests, a single machine), one of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder that the cluster names; on a single machine that names none, one of our own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="graphloom-checkpoint-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="graphloom-checkpoint-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named

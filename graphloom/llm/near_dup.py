@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import checkpoint, dealt
+from graphloom.llm.common import checkpoint, dealt, map_rows
 from graphloom.llm.components import components
 from graphloom.llm.minhash import bands, odd_sketch, samples, shingles
 
@@ -50,19 +50,18 @@ SIGNATURE = "id long, h long, n long, digest binary, keys array<long>, sketch bi
 def signatures(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """One row per text: id, a hash of the text, size and digest of its shingle set, band keys, odd sketch."""
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         import xxhash
 
-        for b in batches:
-            out = []
-            for i, h, t in zip(b["id"].tolist(), b["h"].tolist(), b["text"].tolist()):
-                s = shingles(t, n)
-                m = samples(s, BANDS * ROWS)
-                out.append((i, h, len(s), xxhash.xxh3_128_digest(s.tobytes()), bands(m, ROWS) if len(s) else (), odd_sketch(m, BITS)))
-            yield pd.DataFrame(out, columns=["id", "h", "n", "digest", "keys", "sketch"])
+        def sign(i: int, h: int, t: str | None) -> Iterator[tuple]:
+            s = shingles(t, n)
+            m = samples(s, BANDS * ROWS)
+            yield i, h, len(s), xxhash.xxh3_128_digest(s.tobytes()), bands(m, ROWS).tolist() if len(s) else [], odd_sketch(m, BITS)
+
+        return sign
 
     d = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    return d.mapInPandas(sign, SIGNATURE)
+    return map_rows(d, make, SIGNATURE)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -173,15 +172,16 @@ def links(df: DataFrame, sig: DataFrame, key: str, text: str, n: int, percent: i
     docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     wanted = docs.join(wanted, ["id", "h"]).select("id", "text", "sketch", "at")
 
-    def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for i, t, sk, at in zip(b["id"].tolist(), b["text"].tolist(), b["sketch"].tolist(), b["at"].tolist()):
-                s = shingles(t, n).tobytes()
-                out += [(x["p"], int(c), x["nc"], i, sk, s) for x in at for c in x["cs"]]
-            yield pd.DataFrame(out, columns=["p", "c", "nc", "id", "sketch", "s"])
+    def make():
+        def shingle(i: int, t: str | None, sk: bytes, at: list[dict]) -> Iterator[tuple]:
+            s = shingles(t, n).tobytes()
+            for x in at:
+                for c in x["cs"]:
+                    yield x["p"], c, x["nc"], i, sk, s
+
+        return shingle
 
-    members = wanted.mapInPandas(shingle, "p long, c int, nc int, id long, sketch binary, s binary")
+    members = map_rows(wanted, make, "p long, c int, nc int, id long, sketch binary, s binary")
     members = members.repartition(F.col("p"), F.col("c")).sortWithinPartitions("p", "c", "id")
 
     def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -14,8 +14,8 @@ K equal batches.  What does not divide by K is packed the same way.  Pieces lear
 their rank among pieces of their length through a two-step count, and look up the
 slot of that rank: the result does not depend on how rows are partitioned.
 
-Memory: a worker holds one batch of texts and the slots (at most a few times
-`batch`); the driver holds the counts and the slots.
+Memory: a worker holds an Arrow batch of texts, its encoder's bounded table and the
+slots (at most a few times `batch`); the driver holds the counts and the slots.
 
 Defined results: null and empty texts are the end token alone; repeated rows are
 pieces of their own; empty tables give empty results; columns other than the key
@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import checkpoint, own_id, safe_id
+from graphloom.llm.common import checkpoint, map_rows, own_id, safe_id
 from graphloom.llm.tokenizer import default_path, encoder
 
 CAPACITY, END_ID = 1024, 2
@@ -54,17 +54,17 @@ def pieces(df: DataFrame, path: str | None = None, key: str = "doc_id", text: st
     """(doc_id, piece, start, length, ids_crc32), in one pass over the texts; a null key is the smallest long."""
     path = path or default_path()
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         enc, end = encoder(path), np.array([end_id], "<u4")
-        for b in batches:
-            out = []
-            for doc, t in zip(b["doc_id"].tolist(), b["text"].tolist()):
-                ids = np.concatenate([enc.ids(t or ""), end])
-                for k, (s, n) in enumerate(cut(len(ids), capacity)):
-                    out.append((doc, k, s, n, zlib.crc32(ids[s : s + n].tobytes())))
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return df.select(safe_id(F.col(key)).alias("doc_id"), F.col(text).alias("text")).mapInPandas(encode, PIECES)
+        def encode(doc: int, t: str | None) -> Iterator[tuple]:
+            ids = np.concatenate([enc.ids(t or ""), end])
+            for k, (s, n) in enumerate(cut(len(ids), capacity)):
+                yield doc, k, s, n, zlib.crc32(ids[s : s + n].tobytes())
+
+        return encode
+
+    return map_rows(df.select(safe_id(F.col(key)).alias("doc_id"), F.col(text).alias("text")), make, PIECES)
 
 
 def sum_of_squares(counts: np.ndarray, capacity: int = CAPACITY) -> tuple[dict[int, np.ndarray], int]:
@@ -113,8 +113,7 @@ class Plan:
             k = max(1, -(-total // batch))
             part = left // k
             if not part.any():  # fewer of each length than batches
-                k, part = int(left.max()), (left > 0).astype(np.int64)
-                k = int(left[left > 0].min())
+                k, part = int(left[left > 0].min()), (left > 0).astype(np.int64)
             slots, bins = sum_of_squares(part, capacity)
             first = np.zeros(capacity + 2, np.int64)
             first[1:] = np.cumsum(part)
