@@ -6,9 +6,8 @@ text; Viterbi decodes the tags.  The field is trained here, on texts drawn by a
 fixed generator (`TRAINING` of them), so it is the same in every run; what it finds
 next to the expressions' matches is added as spans of kind `crf`.
 
-All tokens are decoded, those of letters alone too.  A token's own scores are cached
-and the scores of its surroundings are a table over five flags, so a token costs a
-look-up and one step of Viterbi over three tags; `c.viterbi` on all rows gives the same.
+All tokens are decoded, those of letters alone too: each gets its scores, and Viterbi
+walks where a secret is possible at all (`Decoder`); `c.viterbi` on all rows gives the same.
 
 Defined results: a null text is empty; texts of any length are scanned whole, one
 at a time; repeated rows give their rows again; an empty table gives an empty
@@ -25,12 +24,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import crf
-from graphloom.llm.common import own_id, safe_id
+from graphloom.llm.common import map_rows, own_id, safe_id
 from graphloom.llm.spans import Span, digest, matches, overlapped, written
 
 BASE = {
@@ -52,27 +50,34 @@ FEATURES = (
     "letters_joined", "case_turns", "after_cue", "after_assign", "after_cue_assign", "cue_before_two", "before_assign", "text_has_cue", "text_has_assign",
 )
 _AT = {n: i for i, n in enumerate(FEATURES)}
+_SIZES = [_AT[n] for n in ("short", "middle", "long", "longer")]
+_TURN = re.compile(r"[a-z][A-Z]")
 
 
 def _entropy(s: str) -> float:
     return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
 
 
-@functools.lru_cache(100_000)
 def shape(token: str) -> tuple[int, ...]:
     """Indexes of the features of a token by itself."""
     core = token.strip(_STRIP)
     n = len(core)
     if core.isalpha():  # the same features, without the expressions that need more than letters
-        low, up = any(map(str.islower, core)), any(map(str.isupper, core))
-        turns = low and up and len(re.findall(r"[a-z][A-Z]", core)) >= 2
-        has = (True, n < 6, 6 <= n < 12, 12 <= n < 24, n >= 24, low, up)
-        out = [i for i, v in enumerate(has) if v]
-        if _CUE.search(core):
+        if core.islower() and core.isascii():
+            low, up, turns = True, False, False
+        else:
+            low, up = any(map(str.islower, core)), any(map(str.isupper, core))
+            turns = low and up and len(_TURN.findall(core)) >= 2
+        out = [0, _SIZES[0] if n < 6 else _SIZES[1] if n < 12 else _SIZES[2] if n < 24 else _SIZES[3]]
+        if low:
+            out.append(_AT["lower"])
+        if up:
+            out.append(_AT["upper"])
+        if n > 2 and _CUE.search(core):
             out.append(_AT["cue"])
-        if token.rstrip("\"'")[-1:] in ("=", ":"):
+        if token[-1] in "=:\"'" and token.rstrip("\"'")[-1:] in ("=", ":"):
             out.append(_AT["ends_assign"])
-        if token[:1] in "\"'`":
+        if token[0] in "\"'`":
             out.append(_AT["quoted"])
         if turns:
             out.append(_AT["case_turns"])
@@ -221,29 +226,109 @@ def model() -> crf.Chain:
 
 
 _FLAGS = ("after_cue", "after_assign", "after_cue_assign", "cue_before_two", "before_assign")
-
-
-def decode(tokens: list[str], c: crf.Chain, has_cue: bool, has_assign: bool) -> list[int]:
-    """The tags of `c.viterbi(rows(...))`, three tags at a time in plain Python."""
-    ((m00, m01, m02), (m10, m11, m12), (m20, m21, m22)) = c.move.tolist()
-    whole = has_cue * c.emit[_AT["text_has_cue"]] + has_assign * c.emit[_AT["text_has_assign"]]
-    near = [tuple((whole + sum((c.emit[_AT[f]] for i, f in enumerate(_FLAGS) if k >> i & 1), np.zeros(3))).tolist()) for k in range(32)]
-    known = c.__dict__.setdefault("tokens", {})
-    if len(known) > 200_000:
-        known.clear()
-    facts = []
-    for t in tokens:
-        if (f := known.get(t)) is None:
-            e = c.emit[list(shape(t))].sum(axis=0).tolist()
-            f = known[t] = (*e, _CUE.search(t) is not None, t.rstrip("\"'")[-1:] in ("=", ":"), t[:1] in ("=", ":") and 16)
-        facts.append(f)
-    first, back = c.first.tolist(), []
-    s0 = s1 = s2 = 0.0
-    cue = assign = two = False
-    last = len(facts) - 1
-    for i, (e0, e1, e2, own_cue, own_assign, _) in enumerate(facts):
-        a0, a1, a2 = near[cue + 2 * assign + 4 * (assign and (cue or two)) + 8 * two + (facts[i + 1][5] if i < last else 0)]
-        if i:
+#: Different tokens whose scores a worker keeps; the table is emptied when full.
+MOST_TOKENS = 300_000
+
+
+class Decoder:
+    """The tags of `c.viterbi(rows(...))`, found without walking over every token.
+
+    The scores of a token by itself are rows of a table, those of its surroundings
+    another table over five flags, so a text's scores are two look-ups in numpy.  A
+    run of secret tags is worth at most the sum of what its tokens gain over OUTSIDE
+    plus the largest gain of a transition for each and one more.  Tokens in no run
+    for which that is above zero are OUTSIDE in the best path, whatever stands
+    around; Viterbi decides the stretches between them, with OUTSIDE at either end.
+    """
+
+    def __init__(self, c: crf.Chain):
+        self.c = c
+        self.index: dict[bytes, int] = {}
+        self.kinds: dict[tuple, int] = {}
+        self.scores, self.flags = np.zeros((1024, 3)), np.zeros(1024, np.int64)
+        whole = [u * c.emit[_AT["text_has_cue"]] + v * c.emit[_AT["text_has_assign"]] for v in (0, 1) for u in (0, 1)]
+        self.near = [np.array([w + sum((c.emit[_AT[f]] for i, f in enumerate(_FLAGS) if k >> i & 1), np.zeros(3)) for k in range(32)]) for w in whole]
+        calm = c.move[OUT, OUT]
+        self.gain = max(0.0, float((c.move - calm).max()), float((c.first - c.first[OUT]).max()), float((c.last - c.last[OUT]).max()))
+
+    def _row(self, token: bytes) -> int:
+        """The row of a token's features: few rows, as many tokens have the same."""
+        if len(self.index) >= MOST_TOKENS:
+            raise OverflowError
+        t = token.decode("utf-8", "surrogatepass")
+        at = shape(t)
+        key = (t[:1] in ("=", ":"), *at)
+        k = self.kinds.get(key)
+        if k is None:
+            k = self.kinds[key] = len(self.kinds)
+            if k == len(self.flags):
+                self.scores, self.flags = np.concatenate([self.scores, np.zeros_like(self.scores)]), np.concatenate([self.flags, np.zeros_like(self.flags)])
+            self.scores[k] = self.c.emit[list(at)].sum(axis=0)
+            self.flags[k] = (_CUE.search(t) is not None) + 2 * (t.rstrip("\"'")[-1:] in ("=", ":")) + 16 * (t[:1] in ("=", ":"))
+        self.index[token] = k
+        return k
+
+    def rows(self, tokens: list[bytes]) -> np.ndarray:
+        get = self.index.get
+        at = list(map(get, tokens))
+        if None in at:
+            try:
+                at = [self._row(tokens[i]) if (x := get(tokens[i])) is None else x for i in range(len(tokens))]
+            except OverflowError:
+                self.index.clear()
+                if len(set(tokens)) > MOST_TOKENS:  # one text with more: in parts that fit
+                    raise
+                at = [self._row(t) if (x := get(t)) is None else x for t in tokens]
+        return np.array(at)
+
+    def emissions(self, tokens: list[bytes], has_assign: bool) -> np.ndarray:
+        """Scores (tokens x tags) of a whole text."""
+        if len(tokens) > MOST_TOKENS:
+            parts = [(e, f) for i in range(0, len(tokens), MOST_TOKENS) for e, f in [self._own(tokens[i : i + MOST_TOKENS])]]
+            e, f = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        else:
+            e, f = self._own(tokens)
+        cue, assign = np.zeros(len(f) + 2, np.int64), np.zeros(len(f) + 2, np.int64)
+        cue[2:], assign[2:] = f & 1, f >> 1 & 1
+        one, two, eq = cue[1:-1], cue[:-2], assign[1:-1]
+        k = one + 2 * eq + 4 * (eq & (one | two)) + 8 * two
+        k[:-1] += f[1:] & 16
+        return e + self.near[2 * has_assign + bool(cue.any())][k]
+
+    def _own(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        at = self.rows(tokens)
+        return self.scores[at], self.flags[at]
+
+    def secrets(self, tokens: list[bytes], has_assign: bool) -> list[tuple[int, int]]:
+        """(first, last) token of each secret."""
+        x = self.emissions(tokens, has_assign)
+        up = np.maximum(x[:, 1], x[:, 2]) - x[:, 0] + self.gain
+        if up.max() + self.gain <= 0:
+            return []
+        p = np.concatenate([[0.0], np.cumsum(up)])
+        least, most = np.minimum.accumulate(p[:-1]), np.maximum.accumulate(p[:0:-1])[::-1]
+        maybe = np.flatnonzero(most - least + self.gain > -1e-9)
+        out: list[list[int]] = []
+        for run in np.split(maybe, np.flatnonzero(np.diff(maybe) > 1) + 1):
+            if not len(run):
+                continue
+            s, e = int(run[0]), int(run[-1]) + 1
+            for t, tag in enumerate(self.walk(x[s:e].tolist(), s == 0, e == len(x)), s):
+                if tag == BEGIN or tag == INSIDE and not out:
+                    out.append([t, t])
+                elif tag == INSIDE:
+                    out[-1][1] = t
+        return [tuple(x) for x in out]
+
+    def walk(self, rows: list[list[float]], at_start: bool, at_end: bool) -> list[int]:
+        """Viterbi over a stretch, OUTSIDE before and after it or the text's ends."""
+        c = self.c
+        ((m00, m01, m02), (m10, m11, m12), (m20, m21, m22)) = c.move.tolist()
+        (f0, f1, f2), last = (c.first if at_start else c.move[OUT]).tolist(), (c.last if at_end else c.move[:, OUT]).tolist()
+        e0, e1, e2 = rows[0]
+        s0, s1, s2 = f0 + e0, f1 + e1, f2 + e2
+        back = []
+        for e0, e1, e2 in rows[1:]:
             b0 = b1 = b2 = 0
             x0, x1, x2 = s0 + m00, s0 + m01, s0 + m02
             if (y := s1 + m10) > x0:
@@ -259,35 +344,40 @@ def decode(tokens: list[str], c: crf.Chain, has_cue: bool, has_assign: bool) ->
             if (y := s2 + m22) > x2:
                 x2, b2 = y, 2
             back.append((b0, b1, b2))
-        else:
-            x0, x1, x2 = first
-        s0, s1, s2 = x0 + e0 + a0, x1 + e1 + a1, x2 + e2 + a2
-        two, cue, assign = cue, own_cue, own_assign
-    end = [s + x for s, x in zip((s0, s1, s2), c.last.tolist())]
-    tag = end.index(max(end))
-    tags = [tag]
-    for b in reversed(back):
-        tag = b[tag]
-        tags.append(tag)
-    return tags[::-1]
+            s0, s1, s2 = x0 + e0, x1 + e1, x2 + e2
+        end = [s + x for s, x in zip((s0, s1, s2), last)]
+        tag = end.index(max(end))
+        tags = [tag]
+        for b in reversed(back):
+            tag = b[tag]
+            tags.append(tag)
+        return tags[::-1]
 
 
 def tagged(text: str, c: crf.Chain, skip_plain: bool = True) -> list[tuple[int, int]]:
     """Spans of the secrets that the chain finds in a text; without `skip_plain` by the rows of all features."""
-    spots = [m.span() for m in _TOKEN.finditer(text)]
-    if not spots:
+    has_assign = "=" in text or ":" in text
+    tokens = text.encode("utf-8", "surrogatepass").split()  # of bytes: ASCII white space alone divides
+    if not tokens:
         return []
-    has_cue, has_assign = _CUE.search(text) is not None, "=" in text or ":" in text
-    tokens = [text[s:e] for s, e in spots]
-    tags = decode(tokens, c, has_cue, has_assign) if skip_plain else c.viterbi(rows(tokens, has_cue, has_assign))
-    out = []
-    for spot, tag in zip(spots, tags):
-        if tag == BEGIN or tag == INSIDE and not out:
-            out.append(list(spot))
-        elif tag == INSIDE:
-            out[-1][1] = spot[1]
+    if skip_plain:
+        if "decoder" not in c.__dict__:
+            c.__dict__["decoder"] = Decoder(c)
+        runs = c.__dict__["decoder"].secrets(tokens, has_assign)
+        if not runs:
+            return []
+        spots = [m.span() for m in _TOKEN.finditer(text)]
+    else:
+        spots = [m.span() for m in _TOKEN.finditer(text)]
+        tags = c.viterbi(rows([text[s:e] for s, e in spots], _CUE.search(text) is not None, has_assign))
+        runs = []
+        for t, tag in enumerate(tags):
+            if tag == BEGIN or tag == INSIDE and not runs:
+                runs.append([t, t])
+            elif tag == INSIDE:
+                runs[-1][1] = t
     trimmed = []
-    for s, e in out:
+    for s, e in ((spots[a][0], spots[b][1]) for a, b in runs):
         piece = text[s:e]
         s, e = s + len(piece) - len(piece.lstrip(_STRIP)), e - len(piece) + len(piece.rstrip(_STRIP))
         if s < e:
@@ -308,14 +398,13 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document with its counts and spans; one pass, no shuffle."""
     c = model()
 
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for i, t in zip(b["doc_id"].tolist(), b["text"].tolist()):
-                base, more = find(t or "", c)
-                n = Counter(k for k, _, _ in base)
-                out.append((i, n["assign"], n["access"], n["hex"], digest(base, KINDS), written(base + more, KINDS), len(more)))
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in RESULT.split(", ")])
+    def make():
+        def look(i: int, t: str | None) -> Iterator[tuple]:
+            base, more = find(t or "", c)
+            n = Counter(k for k, _, _ in base)
+            yield i, n["assign"], n["access"], n["hex"], digest(base, KINDS), written(base + more, KINDS), len(more)
+
+        return look
 
-    d = df.select(safe_id(F.col(key)).alias("doc_id"), F.col(text).alias("text")).mapInPandas(look, RESULT)
+    d = map_rows(df.select(safe_id(F.col(key)).alias("doc_id"), F.col(text).alias("text")), make, RESULT)
     return d.withColumn("doc_id", own_id(F.col("doc_id"))).withColumnRenamed("doc_id", key)

@@ -9,11 +9,15 @@ from re import Pattern
 Span = tuple[str, int, int]
 
 
-def matches(text: str, kinds: dict[str, tuple[str, Pattern, Callable]]) -> list[Span]:
-    """Leftmost non-overlapping matches of each kind that pass its test; (needed substring, expression, test of the match)."""
+def matches(text: str, kinds: dict[str, tuple[str, Pattern | Callable, Callable | None]]) -> list[Span]:
+    """Leftmost non-overlapping matches of each kind that pass its test; (needed substring, expression or scan, test of the match)."""
     out = []
     for kind, (needs, pattern, test) in kinds.items():
-        if needs in text:
+        if needs not in text:
+            continue
+        if callable(pattern):
+            out += [(kind, s, e) for s, e in pattern(text)]
+        else:
             out += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if test(m)]
     return out
 
