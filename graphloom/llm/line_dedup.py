@@ -1,16 +1,18 @@
-"""Removal of repeated runs of lines.
-
-Every `min_lines` lines that follow one another are a window.  A window whose bytes
-stand earlier in the corpus, by document id, text hash and place, is cut, unless
-the two overlap.  A repeated run of `min_lines` or more is covered by such windows
-from its first line to its last, wherever it stands and whatever is around it, so
-it goes as a whole; shorter ones stay.  The first occurrence of a line is in no
-window that stands earlier, so no line is lost from the corpus.
-
-Equal hashes are only candidates: windows are summed up under two hashes and their
-bytes, and hashes (96 bits) that two differing windows share cut nothing.  No group
-is ever gathered; aggregations combine before their shuffle, and joins on a hot
-window are plain equi-joins that adaptive execution can split.
+"""Removal of repeated multi-line chunks.
+
+A rolling window of `min_lines` line hashes runs over each text.  A chunk goes on for
+as long as the window stands earlier in the corpus (by document id, text hash and
+place, without overlap) and ends where it does not.  So boundaries depend on the lines
+at them and on nothing else: a chunk that is shared has the same ends wherever it
+stands and whatever is around it, and goes from its first line to its last, if it has
+`min_lines` lines or more.  The first occurrence of a line is in no window that stands
+earlier, so no line is lost from the corpus.
+
+Windows are compared line hash by line hash, then by bytes: the different lines of all
+windows that stand more than once are brought together under their hash, and a hash
+that stands for two lines cuts nothing.  No group is ever gathered; aggregations
+combine before their shuffle, and joins on a hot window or line are plain equi-joins
+that adaptive execution can split.
 
 Defined results: a null text stays null and an empty one empty; a text that loses
 all its lines becomes empty but keeps its row; rows with the same document id and
@@ -25,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import dealt
+from graphloom.llm.common import checkpoint, dealt
 
 NO_ID = -(2**63)
 
@@ -35,38 +37,38 @@ def _let(x: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(x), f), 0)
 
 
-def _windows(text: Column, m: int) -> Column:
-    """Hashes of all windows of m lines, by the line that they start at."""
-    hashes = F.transform(F.split(text, "\n"), lambda x: F.xxhash64(x))
-    each = lambda h: F.transform(F.slice(h, 1, F.greatest(F.size(h) - (m - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, m)]))
-    return _let(hashes, each)
+def _hash(line: Column) -> Column:
+    return F.xxhash64(line)
 
 
-def _bodies(text: Column, at: Column, m: int) -> Column:
-    """(k, body) of the windows that start at the given lines."""
-    return _let(F.split(text, "\n"), lambda ls: F.transform(at, lambda k: F.struct(k.alias("k"), F.array_join(F.slice(ls, k + 1, m), "\n").alias("body"))))
+def _windows(text: Column, m: int) -> Column:
+    """The line hashes of all windows of m lines, by the line that they start at."""
+    hashes = F.transform(F.split(text, "\n"), lambda x: _hash(x))
+    each = lambda h: F.transform(F.slice(h, 1, F.greatest(F.size(h) - (m - 1), F.lit(0))), lambda x, i: F.slice(h, i + 1, m))
+    return _let(hashes, each)
 
 
 def removals(df: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = 2) -> DataFrame:
     """(id, t, k): windows from line k that repeat an earlier one, in the text of hash t under an id."""
+    m = min_lines
     c = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("t"), F.col(text).alias("text")).where(F.col(text).isNotNull())
-    # hashes alone find the candidates
-    keys = c.select("id", "t", F.posexplode(_windows(F.col("text"), min_lines)).alias("k", "h"))
+    keys = c.select("id", "t", F.posexplode(_windows(F.col("text"), m)).alias("k", "w"))
     ends = [f(x).alias(f"{n}_{x}") for x in ("id", "t", "k") for n, f in (("lo", F.min), ("hi", F.max))]
-    often = keys.groupBy("h").agg(*ends).where("lo_id < hi_id OR lo_t < hi_t OR lo_k < hi_k").select("h")
-    at = keys.join(*dealt(keys, often, "h"), "left_semi").groupBy("id", "t").agg(F.collect_set("k").alias("at"))
-    # the bytes of candidates alone move on
-    bodies = c.join(at, ["id", "t"]).select("id", "t", F.explode(_bodies(F.col("text"), F.col("at"), min_lines)).alias("b"))
-    bodies = bodies.select("id", "t", "b.k", "b.body").withColumn("h", F.xxhash64("body")).withColumn("g", F.hash("body"))
-    # rows are summed up with their bytes before they are dealt anew; hashes that one body alone has stand for it
-    place = F.struct("id", "t", "k")
-    first = bodies.groupBy("h", "g", "body").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    first = first.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
-    first = first.where("n = 1 AND first <> last").select("h", F.col("g").alias("_g"), "first")
-    r, same = dealt(bodies.drop("body"), first, "h")
+    often = keys.groupBy("w").agg(*ends).where("lo_id < hi_id OR lo_t < hi_t OR lo_k < hi_k").select("w")
+    many = checkpoint(keys.join(*dealt(keys, often, "w"), "left_semi"))  # hashes and places alone
+    # the different lines of those windows, by their bytes
+    at = many.groupBy("id", "t").agg(F.collect_set("k").alias("at"))
+    lines = lambda ls, at: F.transform(F.array_distinct(F.flatten(F.transform(at, lambda k: F.sequence(k, k + (m - 1))))), lambda i: F.get(ls, i))
+    texts = c.join(at, ["id", "t"]).select(F.explode(_let(F.split("text", "\n"), lambda ls: lines(ls, F.col("at")))).alias("line"))
+    shared = checkpoint(texts.select(_hash(F.col("line")).alias("x"), "line").distinct().groupBy("x").count().where("count > 1").select("x"))
+    # the first place of each window; every other that doesn't overlap it repeats it
+    first = many.groupBy("w").agg(F.min(F.struct("id", "t", "k")).alias("first"))
+    r, same = dealt(many, first, "w")
     own = (F.col("id") == F.col("first.id")) & (F.col("t") == F.col("first.t"))
-    again = bodies.drop("body").join(r, same & (F.col("g") == F.col("_g")))
-    return again.where(~own | (F.col("k") >= F.col("first.k") + min_lines)).select("id", "t", "k")
+    again = many.join(r, same).where(~own | (F.col("k") >= F.col("first.k") + m)).select("id", "t", "k", "w")
+    for i in range(m if shared.limit(1).count() else 0):  # hardly ever a hash stands for two lines
+        again = again.withColumn("x", F.get("w", F.lit(i))).join(shared, "x", "left_anti").drop("x")
+    return again.select("id", "t", "k")
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = 2, counts: bool = False) -> DataFrame:

@@ -102,7 +102,18 @@ _NEAR = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coa
   r AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.id)
   SELECT n.doc_id, n.n AS n_shingles, min(r.c) AS component_id, n.doc_id = min(r.c) AS kept FROM n JOIN r ON r.id = n.doc_id GROUP BY n.doc_id, n.n"""
 
-ORACLE_SQL: dict[str, str] = {"op1_near_dup": _NEAR, "op4_chat_format": _CHAT}
+#: Windows of two lines, the first place of each, and lines without those of later windows.
+_LINES = r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+  w AS (SELECT doc_id, k, ls[k] || chr(10) || ls[k + 1] AS b FROM (SELECT doc_id, ls, unnest(range(1, len(ls))) AS k FROM l)),
+  f AS (SELECT b, doc_id AS d, k AS first FROM w QUALIFY row_number() OVER (PARTITION BY b ORDER BY doc_id, k) = 1),
+  g AS (SELECT DISTINCT doc_id, unnest([k, k + 1]) AS i FROM w JOIN f USING (b) WHERE doc_id <> d OR k >= first + 2),
+  n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+  e AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM l),
+  t AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM e ANTI JOIN g USING (doc_id, i) GROUP BY doc_id)
+  SELECT documents.doc_id, CASE WHEN n.n IS NULL THEN text ELSE coalesce(t.t, '') END AS text, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines,
+    CAST(coalesce(n.n, 0) AS BIGINT) AS n_removed FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+ORACLE_SQL: dict[str, str] = {"op1_near_dup": _NEAR, "op3_line_dedup": _LINES, "op4_chat_format": _CHAT}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
