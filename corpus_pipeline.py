@@ -2,6 +2,15 @@
 
 Five stages, each over all rows that the one before it kept.  Stages return the
 columns of `documents`, the last one the pieces of packed sequences.
+
+Defined results, for every stage: an empty table gives an empty one; columns beyond
+those of `documents`, whatever their names, pass through (the last stage drops them).
+Null and empty texts have no words, so the first stage rejects them; those that the
+second empties stay, link with nothing, have size 0 and so are in no mix.  Repeated
+rows with one id and text are one document to the second and third stage, which keep
+or cut them alike, and rows of their own to the others.  A null id sorts first: texts
+without one count as earlier than all others.  Ties are settled by id, then by hash of
+the text.  A null source is a source of its own.
 """
 
 from __future__ import annotations
@@ -16,12 +25,12 @@ from graphloom.llm.common import checkpoint_dir, read
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules, weighed by their estimated accuracies, find good."""
+    """Documents that the rules, weighed by their estimated accuracies, find good; short and repetitive ones fail the base rule."""
     return quality.keep(docs)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without runs of lines that an earlier one has; n_chars follows the text."""
+    """All documents, without runs of lines that an earlier one has; n_chars follows the text, and is null where that is."""
     return line_dedup.dedup(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
