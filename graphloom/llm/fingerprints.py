@@ -41,9 +41,9 @@ TIMES, ROUNDS = (2, 8), 24
 #: Cells of a third for each digest, and the fewest.
 ROOM, LEAST = 1.5, 8
 #: Documents next to each other by id that one task orders, on average.
-NEIGHBOURS = 1_000
+NEIGHBOURS = 200
 #: Most ranges of ids; so many rows of four numbers go to every executor.
-MOST_RANGES = 20_000
+MOST_RANGES = 50_000
 
 CELL = "struct<c:int,n:int,k:bigint,x:int>"
 DIFF = "struct<a:array<bigint>,b:array<bigint>>"
