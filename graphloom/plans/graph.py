@@ -15,50 +15,65 @@ def unified(edges: DataFrame) -> DataFrame:
     return last_wins(edges.where("from_id <> to_id"), ["from_id", "to_id", "relation"], ["seq"], ["evidence"])
 
 
-def traverse(edges: DataFrame, targets: DataFrame, direction: str, depth: int = 3, most: int | None = None, external: str = "external:", free: DataFrame | None = None) -> DataFrame:
-    """(id, distance, parent, relation) of what is reached from targets (id); edges are (from_id, to_id, relation).
-
-    Breadth first, level by level: a frontier meets the edges by an equi-join, what
-    is known is taken out by an anti-join, and of several parents the first by
-    parent and relation is kept.  External nodes are reached but not left.  With
-    `most`, the nodes of the level that crosses it are kept by id; nodes in `free`
-    (id) do not count.
-    """
+def _walk(edges: DataFrame, targets: DataFrame, direction: str, depth: int | None, most: int | None, external: str, free: DataFrame | None) -> tuple[DataFrame, int, bool]:
+    """(reached, nodes counted, whether nodes were left out)."""
     a, b = ("to_id", "from_id") if direction == "incoming" else ("from_id", "to_id")
     e = edges.select(F.col(a).alias("parent"), F.col(b).alias("id"), "relation")
     seen = checkpoint(targets.select("id").distinct().withColumn("distance", F.lit(0)).withColumn("parent", F.lit(None).cast("string")).withColumn("relation", F.lit(None).cast("string")))
-    level, out, left = seen, None, most
-    for d in range(1, depth + 1):
+    level, out, used, cut, d = seen, None, 0, False, 0
+    while depth is None or d < depth:
+        d += 1
         front = level.where(~F.col("id").startswith(external)).select(F.col("id").alias("parent"))
         hit = front.join(e, "parent").join(seen, "id", "left_anti").groupBy("id").agg(F.min(F.struct("parent", "relation")).alias("p"))
         level = hit.select("id", F.lit(d).alias("distance"), "p.parent", "p.relation")
-        if left is not None:
+        if most is not None:
             counted = level if free is None else level.join(free, "id", "left_anti")
-            counted = counted.orderBy("id").limit(left)
+            counted = checkpoint(counted.orderBy("id").limit(most - used + 1))  # one more shows whether any is left out
+            n = counted.count()
+            cut = cut or n > most - used
+            n = min(n, most - used)
+            used += n
+            counted = counted.orderBy("id").limit(n)
             level = counted if free is None else counted.unionByName(level.join(free, "id", "left_semi"))
         level = checkpoint(level)
         if not level.limit(1).count():
             break
-        if left is not None:
-            left -= (level if free is None else level.join(free, "id", "left_anti")).count()
         seen = seen.unionByName(level)
         out = level if out is None else out.unionByName(level)
-        if left == 0 and free is None:
+        if cut and free is None:
             break
-    return out if out is not None else seen.limit(0)
+    return out if out is not None else seen.limit(0), used, cut
 
 
-def impact(edges: DataFrame, targets: DataFrame, depth: int = 3, most: int = 200, direction: str = "both") -> DataFrame:
-    """(id, direction, distance, parent, relation): incoming first; a node reached already does not count again."""
+def traverse(edges: DataFrame, targets: DataFrame, direction: str, depth: int | None = 3, most: int | None = None, external: str = "external:", free: DataFrame | None = None) -> DataFrame:
+    """(id, distance, parent, relation) of what is reached from targets (id); edges are (from_id, to_id, relation).
+
+    Breadth first, level by level, until `depth` (None: until nothing is new): a
+    frontier meets the edges by an equi-join, what is known is taken out by an
+    anti-join, and of several parents the first by parent and relation is kept.
+    External nodes are reached but not left.  With `most`, the nodes of the level that
+    crosses it are kept by id; nodes in `free` (id) do not count.
+    """
+    return _walk(edges, targets, direction, depth, most, external, free)[0]
+
+
+def impact_report(edges: DataFrame, targets: DataFrame, depth: int | None = 3, most: int | None = 200, direction: str = "both", external: str = "external:") -> tuple[DataFrame, bool]:
+    """(rows of `impact`, truncated): truncated tells that the cap on nodes left some out."""
     both = ["incoming", "outgoing"] if direction == "both" else [direction]
-    out, known, left = None, None, most
+    out, known, left, truncated = None, None, most, False
     for way in both:
-        r = traverse(edges, targets, way, depth, left, free=known).withColumn("direction", F.lit(way))
-        if most is not None:
-            left = most - r.count()
+        r, used, cut = _walk(edges, targets, way, depth, left, external, known)
+        left = left - used if left is not None else None
+        truncated = truncated or cut
+        r = r.withColumn("direction", F.lit(way))
         known = r.select("id")
         out = r if out is None else out.unionByName(r)
-    return out
+    return out, truncated
+
+
+def impact(edges: DataFrame, targets: DataFrame, depth: int | None = 3, most: int | None = 200, direction: str = "both") -> DataFrame:
+    """(id, direction, distance, parent, relation): incoming first; a node reached already does not count again."""
+    return impact_report(edges, targets, depth, most, direction)[0]
 
 
 def impacted(reached: DataFrame) -> DataFrame:
@@ -130,56 +145,83 @@ def evidence(edges: DataFrame, starts: DataFrame, depth: int, cap: int, beyond:
 def code_slice(declarations: DataFrame, edges: DataFrame, type_edges: DataFrame, targets: DataFrame, depth: int = 2, most: int = 50) -> dict[str, DataFrame]:
     """Selections, outermost snippets, their link, and external boundaries around targets (id).
 
-    Supporting types come first and share one budget with the impacts.
-    Declarations are (id, file_path, start_off, end_off, external).
+    Supporting types come first, however far, and share one budget with the impacts;
+    `truncated` (one row) tells whether that left nodes out.  Declarations are (id, file_path, start_off, end_off, external).
     """
-    types = traverse(type_edges, targets, "outgoing", 64, most).select("id", F.lit("type").alias("role"), "distance")
-    left = most - types.count()
-    reached = impact(edges, targets, depth, left).select("id", F.col("direction").alias("role"), "distance")
+    types, used, cut = _walk(type_edges, targets, "outgoing", None, most, "external:", None)
+    types = types.select("id", F.lit("type").alias("role"), "distance")
+    reached, more = impact_report(edges, targets, depth, most - used)
+    reached = reached.select("id", F.col("direction").alias("role"), "distance")
     sel = targets.select("id", F.lit("target").alias("role"), F.lit(0).alias("distance")).unionByName(types).unionByName(reached)
     sel = checkpoint(sel.groupBy("id").agg(F.array_sort(F.collect_set("role")).alias("roles"), F.min("distance").alias("distance")))
     own = sel.join(declarations.where("not external"), "id")
     snippets = maximal(own.select("file_path", "start_off", "end_off"), ["file_path"], "start_off", "end_off").withColumn("snippet_id", F.concat_ws(":", "file_path", "start_off", "end_off"))
     inside = own.select("id", "file_path", F.col("start_off").alias("_s"), F.col("end_off").alias("_e")).join(snippets, "file_path").where("start_off <= _s and _e <= end_off").select("id", "snippet_id")
-    return {"selections": sel, "snippets": snippets, "links": inside, "boundaries": sel.where(F.col("id").startswith("external:"))}
+    return {"selections": sel, "snippets": snippets, "links": inside, "boundaries": sel.where(F.col("id").startswith("external:")), "truncated": sel.sparkSession.createDataFrame([(cut or more,)], "truncated boolean")}
 
 
-def closure(edges: DataFrame, most: int = 64) -> DataFrame:
-    """(from_id, to_id, distance): all reachable pairs, shortest first, until nothing new appears."""
+def closure(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(from_id, to_id, distance): all reachable pairs, shortest first, until nothing new appears.
+
+    With `most`, longer paths than that are an error, not left out.
+    """
     step = checkpoint(edges.select("from_id", "to_id").distinct())
-    all_, front = step.withColumn("distance", F.lit(1)), step
-    for d in range(2, most + 1):
+    all_, front, d = step.withColumn("distance", F.lit(1)), step, 1
+    while True:
+        d += 1
         new = front.withColumnRenamed("to_id", "mid").join(step.withColumnRenamed("from_id", "mid"), "mid").select("from_id", "to_id").distinct()
         front = checkpoint(new.join(all_, ["from_id", "to_id"], "left_anti"))
         if not front.limit(1).count():
-            break
+            return all_
+        if most is not None and d > most:
+            raise ValueError(f"there are paths of more than {most} steps")
         all_ = all_.unionByName(front.withColumn("distance", F.lit(d)))
-    return all_
 
 
-def dependency_levels(edges: DataFrame, most: int = 64) -> DataFrame:
-    """(id, level): 0 for what depends on nothing, else one more than the highest dependency; nodes on cycles are left out."""
+def dependency_levels(edges: DataFrame) -> DataFrame:
+    """(id, level): 0 for what depends on nothing, else one more than the highest dependency.
+
+    Levels are found until no node is ready any more, so nodes that are left out are
+    on a cycle or depend on one.
+    """
     e = checkpoint(edges.select("from_id", "to_id").distinct())
     nodes = e.select(F.col("from_id").alias("id")).union(e.select("to_id")).distinct()
-    out = checkpoint(nodes.join(e.select(F.col("from_id").alias("id")), "id", "left_anti").withColumn("level", F.lit(0)))
-    for k in range(1, most + 1):
-        open_ = e.join(out.select(F.col("id").alias("to_id")), "to_id", "left_anti")
-        ready = e.select(F.col("from_id").alias("id")).distinct().join(open_.select(F.col("from_id").alias("id")), "id", "left_anti").join(out, "id", "left_anti")
-        new = checkpoint(ready.withColumn("level", F.lit(k)))
-        if not new.limit(1).count():
-            break
-        out = out.unionByName(new)
+    last = checkpoint(nodes.join(e.select(F.col("from_id").alias("id")), "id", "left_anti").withColumn("level", F.lit(0)))
+    out, k = last, 0
+    while last.limit(1).count():
+        k += 1
+        # only edges to nodes without a level stay open, and only users of the last level can be ready
+        users = e.join(last.select(F.col("id").alias("to_id")), "to_id", "left_semi").select(F.col("from_id").alias("id")).distinct()
+        e = checkpoint(e.join(last.select(F.col("id").alias("to_id")), "to_id", "left_anti"))
+        last = checkpoint(users.join(e.select(F.col("from_id").alias("id")), "id", "left_anti").withColumn("level", F.lit(k)))
+        out = out.unionByName(last)
     return out
 
 
 def subtree_totals(parents: DataFrame, value: str) -> DataFrame:
-    """(id, direct, total, <value>) of a forest (id, parent, value): children, descendants, and the sum over the subtree with its root."""
-    up = parents.where("parent is not null").select(F.col("parent").alias("from_id"), F.col("id").alias("to_id"))
-    c = closure(up)
-    below = c.join(parents.select(F.col("id").alias("to_id"), F.col(value).alias("v")), "to_id")
-    s = below.groupBy(F.col("from_id").alias("id")).agg(F.count_if(F.col("distance") == 1).alias("direct"), F.count("*").alias("total"), F.sum("v").alias("below"))
-    zero = lambda x: F.coalesce(F.col(x), F.lit(0))
-    return parents.join(s, "id", "left").select("id", "parent", zero("direct").alias("direct"), zero("total").alias("total"), (F.col(value) + zero("below")).alias(value))
+    """(id, parent, direct, total, <value>) of a forest (id, parent, value): children, descendants, and the sum over the subtree with its root.
+
+    Levels are laid down from the roots (rows whose parent is null or none of the
+    ids), then summed up from the deepest: every row is in one level, so the work is
+    that of the rows, not of all pairs above one another.  Rows on a cycle of parents,
+    or below one, have children but null totals.
+    """
+    p = checkpoint(parents.select("id", "parent", F.col(value).alias("v")))
+    direct = p.groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("direct"))
+    roots = p.join(p.select(F.col("id").alias("parent")), "parent", "left_anti").select("id", "parent", "v")
+    levels = [checkpoint(roots)]
+    while levels[-1].limit(1).count():
+        levels.append(checkpoint(p.join(levels[-1].select(F.col("id").alias("parent")), "parent", "left_semi").select("id", "parent", "v")))
+    below, done = None, None
+    for level in reversed(levels[:-1]):
+        own = level.withColumn("total", F.lit(0).cast("long")).withColumn("s", F.col("v"))
+        if below is not None:
+            sums = below.groupBy(F.col("parent").alias("id")).agg(F.sum(F.col("total") + 1).alias("t"), F.sum("s").alias("b"))
+            own = level.join(sums, "id", "left").select("id", "parent", "v", F.coalesce("t", F.lit(0)).cast("long").alias("total"), (F.col("v") + F.coalesce("b", F.lit(0))).alias("s"))
+        below = checkpoint(own)
+        done = below if done is None else done.unionByName(below)
+    t = p.join(direct, "id", "left") if done is None else p.join(direct, "id", "left").join(done.select("id", "total", "s"), "id", "left")
+    return t.select("id", "parent", F.coalesce("direct", F.lit(0)).alias("direct"), F.col("total") if done is not None else F.lit(None).cast("long").alias("total"), (F.col("s") if done is not None else F.col("v")).alias(value))
 
 
 def preorder(nodes: DataFrame, file: str, start: str, end: str) -> DataFrame:

@@ -19,7 +19,6 @@ from graphloom.operators.sets import fair_sample
 #: Extensions that are searched.
 EXTENSIONS = ("js", "jsx", "mjs", "cjs", "ts", "tsx", "mts", "cts")
 HITS = "package string, extension string, repository string, path string, sha string"
-STATUS = "package string, extension string, pages int, total long, truncated boolean"
 
 
 def backoff_seconds(attempt: int, base: float, most: float) -> float:
@@ -37,20 +36,40 @@ def retried(fetch: Callable, *args, attempts: int = 5, base: float = 1.0, most:
             sleep(backoff_seconds(k, base, most))
 
 
-def search(spark: SparkSession, packages: list[str], fetch: Callable[[str, str, int], tuple[list[tuple[str, str, str]], int, bool]], pages: int = 10, attempts: int = 5) -> DataFrame:
-    """Hits of every package and extension; fetch(package, extension, page) gives (repository, path, sha) rows, the total, and whether a next page exists."""
+def fetched(spark: SparkSession, packages: list[str], fetch: Callable[[str, str, int], tuple[list[tuple[str, str, str]], int, bool]], pages: int = 10, attempts: int = 5) -> DataFrame:
+    """Rows of every page read, with the page, the total that the service names, and whether pages were left; a page without hits is one row of nulls.
+
+    fetch(package, extension, page) gives (repository, path, sha) rows, the total, and
+    whether a next page exists.  Persist the result where hits and status are both read.
+    """
     jobs = spark.createDataFrame([(p, e) for p in packages for e in EXTENSIONS], "package string, extension string").repartition(len(packages) * len(EXTENSIONS), "package", "extension")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for p, e in zip(b["package"], b["extension"]):
                 for page in range(1, pages + 1):
-                    rows, _, more = retried(fetch, p, e, page, attempts=attempts)
-                    yield pd.DataFrame([(p, e, *r) for r in rows], columns=["package", "extension", "repository", "path", "sha"])
+                    rows, total, more = retried(fetch, p, e, page, attempts=attempts)
+                    left = bool(more and page == pages)
+                    yield pd.DataFrame([(p, e, *r, page, total, left) for r in rows or [(None, None, None)]], columns=["package", "extension", "repository", "path", "sha", "page", "total", "left"])
                     if not more:
                         break
 
-    return jobs.mapInPandas(run, HITS)
+    return jobs.mapInPandas(run, f"{HITS}, page int, total long, left boolean")
+
+
+def hits(read: DataFrame) -> DataFrame:
+    return read.where(F.col("path").isNotNull()).select("package", "extension", "repository", "path", "sha")
+
+
+def status(read: DataFrame) -> DataFrame:
+    """(package, extension, pages, total, hits, truncated): truncated where pages were left or fewer hits came than the total."""
+    n = F.count("path")
+    return read.groupBy("package", "extension").agg(F.max("page").alias("pages"), F.max("total").alias("total"), n.alias("hits"), (F.bool_or("left") | (n < F.max("total"))).alias("truncated"))
+
+
+def search(spark: SparkSession, packages: list[str], fetch: Callable[[str, str, int], tuple[list[tuple[str, str, str]], int, bool]], pages: int = 10, attempts: int = 5) -> DataFrame:
+    """Hits of every package and extension; `status` of `fetched` tells what was left out."""
+    return hits(fetched(spark, packages, fetch, pages, attempts))
 
 
 def candidates(hits: DataFrame, most: int | None = None) -> DataFrame:
