@@ -27,6 +27,30 @@ def multiset_difference(left: DataFrame, right: DataFrame, keys: list[str]) -> D
     return n.groupBy(*keys).agg(F.sum("n").alias("n")).where("n > 0")
 
 
+def united(left: DataFrame, right: DataFrame, key: str = "path") -> DataFrame:
+    """Rows of both sides, one for each key: the left side's where both have it."""
+    d = left.withColumn("_side", F.lit(0)).unionByName(right.withColumn("_side", F.lit(1)))
+    rest = [c for c in left.columns if c != key]
+    return d.groupBy(key).agg(F.min(F.struct("_side", *rest)).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
+def shared(left: DataFrame, right: DataFrame, key: str = "path") -> DataFrame:
+    """Rows of the left side whose key the right side has too."""
+    return left.join(right.select(key), key, "left_semi")
+
+
+def omitted(left: DataFrame, right: DataFrame, key: str = "path") -> DataFrame:
+    """Rows of the left side whose key the right side has not."""
+    return left.join(right.select(key), key, "left_anti")
+
+
+def covered_keys(candidates: DataFrame, template: DataFrame, group: str, key: str) -> DataFrame:
+    """(group, same, missing): whether each group's keys are all in the template, and the template's number of keys that it lacks."""
+    n = template.select(key).distinct().count()  # fields of one template
+    d = candidates.select(group, key).distinct().join(template.select(key).distinct().withColumn("_in", F.lit(1)), key, "left")
+    return d.groupBy(group).agg((F.count("*") == F.count("_in")).alias("same"), (F.lit(n) - F.count("_in")).alias("missing"))
+
+
 def fair_sample(df: DataFrame, queue: str, order: list[str], item: list[str], cap: int) -> DataFrame:
     """Round-robin over queues in their order: each gives its next item that no other gave yet, up to `cap` in all.
 

@@ -85,6 +85,13 @@ def at_least(df: DataFrame, level: str) -> DataFrame:
     return df.where(F.array_position(order, F.col("confidence")) >= F.array_position(order, F.lit(level)))
 
 
+def evidence_points(found: DataFrame, starts: DataFrame, each: float, cap: float, relation: str | None = None) -> DataFrame:
+    """(start, items, points): graph evidence (start, relation, ...) of chosen starts, `each` points an item and `cap` at most; `relation` takes the place of the items' own."""
+    e = found.join(starts.select("start"), "start", "left_semi")
+    e = e.withColumn("relation", F.lit(relation)) if relation is not None else e
+    return e.groupBy("start", "relation").agg(F.count("*").alias("items"), F.least(F.lit(float(cap)), F.count("*") * each).alias("points"))
+
+
 def by_node(detections: DataFrame, node: list[str]) -> DataFrame:
     """(node, n, patterns): patterns with their modes, best score first, then by name."""
     found = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "pattern", "mode")))

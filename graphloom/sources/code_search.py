@@ -36,13 +36,18 @@ def retried(fetch: Callable, *args, attempts: int = 5, base: float = 1.0, most:
             sleep(backoff_seconds(k, base, most))
 
 
+def jobs(packages: DataFrame, package: str = "package") -> DataFrame:
+    """(package, extension): one search for every package and extension."""
+    return packages.select(F.col(package).alias("package"), F.explode(F.array(*[F.lit(e) for e in EXTENSIONS])).alias("extension"))
+
+
 def fetched(spark: SparkSession, packages: list[str], fetch: Callable[[str, str, int], tuple[list[tuple[str, str, str]], int, bool]], pages: int = 10, attempts: int = 5) -> DataFrame:
     """Rows of every page read, with the page, the total that the service names, and whether pages were left; a page without hits is one row of nulls.
 
     fetch(package, extension, page) gives (repository, path, sha) rows, the total, and
     whether a next page exists.  Persist the result where hits and status are both read.
     """
-    jobs = spark.createDataFrame([(p, e) for p in packages for e in EXTENSIONS], "package string, extension string").repartition(len(packages) * len(EXTENSIONS), "package", "extension")
+    todo = jobs(spark.createDataFrame([(p,) for p in packages], "package string")).repartition(len(packages) * len(EXTENSIONS), "package", "extension")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -54,7 +59,7 @@ def fetched(spark: SparkSession, packages: list[str], fetch: Callable[[str, str,
                     if not more:
                         break
 
-    return jobs.mapInPandas(run, f"{HITS}, page int, total long, left boolean")
+    return todo.mapInPandas(run, f"{HITS}, page int, total long, left boolean")
 
 
 def hits(read: DataFrame) -> DataFrame:
