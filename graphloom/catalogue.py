@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.queries import graphs, project, relational, texts
+from graphloom.queries import graphs, patterns, project, relational, texts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = graphs.QUERIES | relational.QUERIES | texts.QUERIES | project.QUERIES
-ORACLE_SQL: dict[str, str] = graphs.ORACLE_SQL | relational.ORACLE_SQL | texts.ORACLE_SQL | project.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = graphs.QUERIES | relational.QUERIES | texts.QUERIES | project.QUERIES | patterns.QUERIES
+ORACLE_SQL: dict[str, str] = graphs.ORACLE_SQL | relational.ORACLE_SQL | texts.ORACLE_SQL | project.ORACLE_SQL | patterns.ORACLE_SQL

@@ -173,3 +173,34 @@ def test_documents(spark):
     assert r.first().t == '{"card": "[redacted]", "u": {"mail": "[redacted]", "n": "x"}, "z": ["[redacted]"]}'
     s = specs.schema_rows(spark.createDataFrame([(1, '{"type":"object","required":["a"],"properties":{"a":{"type":"string","enum":["x"]},"b":{"type":"array","items":{"type":"number","default":1}}}}')], "k int, t string"), "k", "t")
     assert {(x.path, x.type, x.required, x.default) for x in s.collect()} == {("$", "object", True, None), ("$.a", "string", True, None), ("$.b", "array", False, None), ("$.b[]", "number", False, "1")}
+
+
+def test_deep_graphs_and_truncation(spark):
+    """Chains longer than any number of rounds once set; a cap that is hit is told, an explicit bound is an error."""
+    chain = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}", "r") for i in range(80)], "from_id string, to_id string, relation string")
+    assert graph.dependency_levels(chain).agg({"level": "max"}).first()[0] == 80
+    t = spark.createDataFrame([("n000",)], "id string")
+    assert graph.traverse(chain, t, "outgoing", None).count() == 80
+    r, cut = graph.impact_report(chain, t, None, 10)
+    assert r.count() == 10 and cut
+    r, cut = graph.impact_report(chain, t, 5, 10)
+    assert r.count() == 5 and not cut
+    with pytest.raises(ValueError):
+        graph.closure(chain.limit(80), 3)
+    rows = [(f"p{i}", f"p{i - 1}" if i else None, 1) for i in range(70)] + [("x", "y", 5), ("y", "x", 7), ("lost", "nowhere", 3)]
+    got = {x.id: (x.direct, x.total, x.v) for x in graph.subtree_totals(spark.createDataFrame(rows, "id string, parent string, v long"), "v").collect()}
+    assert got["p0"] == (1, 69, 70) and got["p69"] == (0, 0, 1) and got["lost"] == (0, 0, 3) and got["x"] == (1, None, None)
+
+
+def test_detector_of_each_pattern(spark):
+    """Each detector finds the code written for it, and names alone stay low."""
+    from graphloom.plans import detectors
+    from graphloom.queries import patterns
+
+    best = {}
+    for r in detectors.detect(patterns.candidates(spark, "/root/testdata/sf0.001"), ["p_partkey"]).where("p_partkey < 23").collect():
+        best.setdefault(r.pattern, {})[r.p_partkey] = r.confidence
+    assert set(best) == {f"pattern.{p}" for p in detectors.RULES}
+    for pattern, part in (("controller", 0), ("route_handler", 2), ("guard", 4), ("interceptor", 5), ("dto", 6), ("entity", 7), ("use_case", 9), ("resolver", 11), ("circuit_breaker", 17), ("cache", 15), ("retry_policy", 16), ("queue_consumer", 18)):
+        assert best[f"pattern.{pattern}"].get(part) in ("medium", "high"), pattern
+    assert best["pattern.controller"].get(1) in (None, "low")
