@@ -145,8 +145,10 @@ def fit(patterns: Iterable[tuple[tuple[int, ...], int]], rules: int = len(RULES)
     """Expectation-maximisation on (votes, count) pairs.
 
     Starts from the belief that rules beat chance: a pattern with a bad vote starts
-    as bad with probability 0.9.  Counts are smoothed, so the result exists for
-    empty input too.
+    as bad with probability 0.9.  Counts are smoothed and the prior is kept off 0 and
+    1, so the result exists for empty input, and for input of one pattern, too.  Should
+    the classes have changed places (bad votes more likely from what is called good),
+    they are named the other way round.
     """
     data = sorted((tuple(v), n) for v, n in patterns)
     q = [0.1 if -1 in v else 0.95 for v, _ in data]
@@ -167,6 +169,9 @@ def fit(patterns: Iterable[tuple[tuple[int, ...], int]], rules: int = len(RULES)
         q = new
         if done:
             break
+    # weight of a bad vote: log P(bad vote | good) - log P(bad vote | bad), below 0 where a rule beats chance
+    if sum(w[0] - w[2] for w in model.weights) > 0:
+        model = Model(1 - model.prior, tuple(tuple(-x for x in w) for w in model.weights))
     return model
 
 

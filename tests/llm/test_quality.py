@@ -66,3 +66,12 @@ def test_fit_recovers_rules():
     right = sum((m.log_odds(v) > 0) == good for v, good in truth)
     assert right / len(truth) > 0.93 and abs(m.prior - 0.7) < 0.05
     assert quality.fit([], 5) is not None
+
+
+def test_degenerate_fits():
+    """One pattern alone, votes of one sort, and mostly bad texts: classes keep their names."""
+    for data in ({(-1, -1, -1): 50}, {(1, 1, 1): 50}, {(0, 0, 0): 50}, {(-1, -1, -1): 900, (1, 1, 1): 100}, {(-1, 1, -1): 500, (1, -1, 1): 500}):
+        m = quality.fit(data.items(), 3)
+        assert 0 < m.prior < 1 and m.log_odds((1, 1, 1)) >= m.log_odds((-1, -1, -1))
+    m = quality.fit({(-1, -1, -1): 900, (1, 1, 1): 100}.items(), 3)
+    assert m.log_odds((1, 1, 1)) > 0 > m.log_odds((-1, -1, -1))
