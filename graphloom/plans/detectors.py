@@ -300,6 +300,12 @@ def condition(c: tuple) -> Column:
         x = F.col(a[0]) >= a[1]
     elif form == "size":
         x = F.size(a[0]) >= a[1]
+    elif form == "count":
+        x = F.size(F.filter(a[0], lambda v: v.rlike(a[1]))) >= a[2]
+    elif form == "more":
+        x = F.col(a[0]) > F.col(a[1])
+    elif form == "different":
+        x = F.size(F.array_distinct(a[0])) >= a[1]
     elif form == "all_hidden":
         x = (F.size("properties") > 0) & (F.col("hidden_properties") >= F.size("properties"))
     elif form == "at_least_of":
@@ -332,6 +338,12 @@ def sql(c: tuple) -> str:
         x = f"{a[0]} >= {a[1]}"
     elif form == "size":
         x = f"len({a[0]}) >= {a[1]}"
+    elif form == "count":
+        x = f"len(list_filter({a[0]}, lambda v: regexp_matches(v, {q(a[1])}))) >= {a[2]}"
+    elif form == "more":
+        x = f"{a[0]} > {a[1]}"
+    elif form == "different":
+        x = f"len(list_distinct({a[0]})) >= {a[1]}"
     elif form == "all_hidden":
         x = "len(properties) > 0 AND hidden_properties >= len(properties)"
     elif form == "at_least_of":
@@ -343,12 +355,28 @@ def sql(c: tuple) -> str:
     return f"coalesce({x}, false)"
 
 
-def signals(candidates: DataFrame, keys: list[str], patterns: list[str] | None = None) -> DataFrame:
+def worth(points) -> Column:
+    """Points of a rule: a number, or (base, each, number column or (array, pattern), most)."""
+    if not isinstance(points, tuple):
+        return F.lit(float(points))
+    base, each, of, most = points
+    n = F.col(of) if isinstance(of, str) else F.size(F.filter(of[0], lambda v: v.rlike(of[1])))
+    return F.least(F.lit(float(most)), base + n * each).cast("double")
+
+
+def worth_sql(points) -> str:
+    if not isinstance(points, tuple):
+        return f"{float(points)}::DOUBLE"
+    base, each, of, most = points
+    n = of if isinstance(of, str) else f"len(list_filter({of[0]}, lambda v: regexp_matches(v, '{of[1]}')))"
+    return f"least({float(most)}, {base} + {n} * {each})::DOUBLE"
+
+
+def signals(candidates: DataFrame, keys: list[str], rules_of: dict | None = None) -> DataFrame:
     """(keys, pattern, rule, area, strength, points) of all rules that hold, penalties as area `penalty`, in one pass."""
     found = []
-    for p in patterns or RULES:
-        kinds, rules, penalties = RULES[p]
-        row = lambda r, a, s, x, p=p: F.struct(F.lit(f"pattern.{p}").alias("pattern"), F.lit(r).alias("rule"), F.lit(a).alias("area"), F.lit(s).alias("strength"), F.lit(float(x)).alias("points"))
+    for p, (kinds, rules, penalties) in (rules_of or RULES).items():
+        row = lambda r, a, s, x, p=p: F.struct(F.lit(f"pattern.{p}").alias("pattern"), F.lit(r).alias("rule"), F.lit(a).alias("area"), F.lit(s).alias("strength"), worth(x).alias("points"))
         own = F.col("kind").isin(*kinds)
         found += [F.when(own & condition(c), row(r, (*area, "local")[0], s, x)) for r, x, s, c, *area in rules]
         found += [F.when(own & condition(c), row("penalty", "penalty", "none", x)) for x, c in penalties]
@@ -356,12 +384,22 @@ def signals(candidates: DataFrame, keys: list[str], patterns: list[str] | None =
     return d.select(*keys, F.explode("_s").alias("x")).select(*keys, "x.*")
 
 
-def detect(candidates: DataFrame, keys: list[str], graph: DataFrame | None = None, level: str = "low", patterns: list[str] | None = None) -> DataFrame:
+def signals_sql(rules_of: dict | None = None) -> str:
+    """A list of the rules' structs, nulls where they don't hold."""
+    found = []
+    for p, (kinds, rules, penalties) in (rules_of or RULES).items():
+        every = [(r, x, s, c, (*area, "local")[0]) for r, x, s, c, *area in rules] + [("penalty", x, "none", c, "penalty") for x, c in penalties]
+        for r, x, s, c, area in every:
+            found.append(f"CASE WHEN {sql(('has', 'kind', kinds))} AND {sql(c)} THEN {{'pattern': 'pattern.{p}', 'rule': '{r}', 'area': '{area}', 'strength': '{s}', 'points': {worth_sql(x)}}} END")
+    return "[" + ", ".join(found) + "]"
+
+
+def detect(candidates: DataFrame, keys: list[str], graph: DataFrame | None = None, level: str = "low") -> DataFrame:
     """Detections (keys, pattern, score, confidence, detected, rules, strong) of a level or higher.
 
     `graph` has more signals of the same columns, of area `graph` or `call`.
     """
-    s = signals(candidates, keys, patterns)
+    s = signals(candidates, keys)
     if graph is not None:
         s = s.unionByName(graph)
     return scoring.at_least(scoring.finish_additional(s, [*keys, "pattern"]).where("detected"), level)

@@ -204,3 +204,12 @@ def test_detector_of_each_pattern(spark):
     for pattern, part in (("controller", 0), ("route_handler", 2), ("guard", 4), ("interceptor", 5), ("dto", 6), ("entity", 7), ("use_case", 9), ("resolver", 11), ("circuit_breaker", 17), ("cache", 15), ("retry_policy", 16), ("queue_consumer", 18)):
         assert best[f"pattern.{pattern}"].get(part) in ("medium", "high"), pattern
     assert best["pattern.controller"].get(1) in (None, "low")
+    from graphloom.plans import architecture
+
+    best = {}
+    for r in patterns.detected_designs(spark, "/root/testdata/sf0.001").where("p_partkey < 23").collect():
+        best.setdefault(r.pattern, {})[r.p_partkey] = r.confidence
+    assert set(best) == {f"pattern.{p}" for p in architecture.RULES}
+    for pattern, part in (("singleton", 0), ("dependency_injection", 2), ("factory", 3), ("observer", 4), ("strategy", 5), ("builder", 7), ("decorator", 10), ("event_emitter", 15), ("module_boundary", 19), ("unit_of_work", 20)):
+        assert best[f"pattern.{pattern}"].get(part) in ("medium", "high"), pattern
+    assert best["pattern.adapter"].get(22) == "low" and not any(21 in x for x in best.values())
