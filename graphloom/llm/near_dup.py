@@ -18,8 +18,10 @@ With 128 samples in 32 bands, a pair at the threshold 0.8 shares no band with
 probability 5e-8, and its odd sketch fails the test with less than 1e-6.
 
 Defined results: texts without words are linked with nothing; rows with equal ids
-are one document if their texts are equal; a null id sorts first and stays null;
-empty tables give empty results; other columns pass through `keep_one`.
+are one document if their texts are equal, and several if not; a null id sorts
+first and stays null, and null ids are told apart by their texts like any other;
+empty tables give empty results; other columns pass through `keep_one`, which keeps
+one row of a group, any one of those that repeat both id and text.
 """
 
 from __future__ import annotations
@@ -71,6 +73,20 @@ def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 1 + BITS / 2 * np.log1p(-share) / (2 * BANDS * ROWS)
 
 
+def named(sig: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Signatures with a long v for each document (id, h), in the order of documents, and the table of names.
+
+    Where an id has one text alone, it is the name.  Else documents are numbered in
+    ranges of (id, h): a number tells range and place there, so it needs no counting.
+    """
+    several = sig.groupBy("id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi")
+    if not several.limit(1).count():
+        return sig.withColumn("v", F.col("id")), None
+    names = sig.select("id", "h").distinct().repartitionByRange("id", "h").sortWithinPartitions("id", "h")
+    names = checkpoint(names.select("id", "h", F.monotonically_increasing_id().alias("v")))
+    return sig.join(names, ["id", "h"]), names
+
+
 class Sets:
     """Members of a group with their sets, and an index from shingle to members."""
 
@@ -156,28 +172,28 @@ OUT = "p long, nc int, a long, b long, near boolean, sketch binary, s binary"
 
 
 def links(df: DataFrame, sig: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
-    """(a, b): links whose components are those of all links between classes."""
-    reps = sig.where("n > 0").groupBy("digest").agg(F.min(F.struct("id", "h")).alias("r"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
-    reps = reps.select("r.id", "r.h", "n", "keys", "sketch")
-    hits = reps.select(F.explode("keys").alias("k"), "id")
-    pivots = hits.groupBy("k").agg(F.min("id").alias("p"), F.max("id").alias("hi")).where("p < hi").select("k", "p")
-    star = hits.join(*dealt(hits, pivots, "k")).select("p", "id").distinct()
+    """(a, b): links by names v whose components are those of all links between classes."""
+    reps = sig.where("n > 0").groupBy("digest").agg(F.min(F.struct("v", "id", "h")).alias("r"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    reps = reps.select("r.v", "r.id", "r.h", "n", "keys", "sketch")
+    hits = reps.select(F.explode("keys").alias("k"), "v")
+    pivots = hits.groupBy("k").agg(F.min("v").alias("p"), F.max("v").alias("hi")).where("p < hi").select("k", "p")
+    star = hits.join(*dealt(hits, pivots, "k")).select("p", "v").distinct()
     star = checkpoint(star)
     # at most one pivot per band and document
-    size = reps.select("id", "n").join(star, "id").groupBy("p").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("nc"))
-    rows = reps.select("id", "h", "n", "sketch").join(star, "id")
+    size = reps.select("v", "n").join(star, "v").groupBy("p").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("nc"))
+    rows = reps.select("v", "id", "h", "n", "sketch").join(star, "v")
     rows = rows.join(*dealt(rows, size, "p"))
-    chunks = F.when(F.col("id") == F.col("p"), F.sequence(F.lit(0), F.col("nc") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("nc")).cast("int")))
-    wanted = rows.groupBy("id", "h").agg(F.first("sketch").alias("sketch"), F.collect_list(F.struct("p", "nc", chunks.alias("cs"))).alias("at"))
+    chunks = F.when(F.col("v") == F.col("p"), F.sequence(F.lit(0), F.col("nc") - 1)).otherwise(F.array(F.pmod(F.xxhash64("v"), F.col("nc")).cast("int")))
+    wanted = rows.groupBy("id", "h").agg(F.first("v").alias("v"), F.first("sketch").alias("sketch"), F.collect_list(F.struct("p", "nc", chunks.alias("cs"))).alias("at"))
     docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    wanted = docs.join(wanted, ["id", "h"]).select("id", "text", "sketch", "at")
+    wanted = docs.join(wanted, ["id", "h"]).select("v", "text", "sketch", "at")
 
     def make():
-        def shingle(i: int, t: str | None, sk: bytes, at: list[dict]) -> Iterator[tuple]:
+        def shingle(v: int, t: str | None, sk: bytes, at: list[dict]) -> Iterator[tuple]:
             s = shingles(t, n).tobytes()
             for x in at:
                 for c in x["cs"]:
-                    yield x["p"], c, x["nc"], i, sk, s
+                    yield x["p"], c, x["nc"], v, sk, s
 
         return shingle
 
@@ -228,22 +244,35 @@ def links(df: DataFrame, sig: DataFrame, key: str, text: str, n: int, percent: i
 
 
 def groups(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = THRESHOLD) -> DataFrame:
-    """(id, h, n, component) per row; h is a hash of its text, and a null key is NO_ID."""
-    sig = checkpoint(signatures(df, key, text, shingle))
+    """(id, h, n, component, first) per row.
+
+    h is a hash of its text; a null key is NO_ID; component is the smallest id of the
+    row's group; of the documents (id, h) of a group, one is `first`.
+    """
+    sig, names = named(checkpoint(signatures(df, key, text, shingle)))
     comp = components(links(df, sig, key, text, shingle, percent))
-    rep = sig.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"))
-    d = sig.select("id", "h", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
+    rep = sig.where("n > 0").groupBy("digest").agg(F.min("v").alias("rep"))
+    d = sig.select("id", "h", "v", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
     d = d.join(*dealt(d, rep, "digest"), "left")
     d = d.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-    return d.select("id", "h", "n", F.coalesce("component", "rep", "id").alias("component"))
+    d = d.select("id", "h", "v", "n", F.coalesce("component", "rep", "v").alias("w"))
+    if names is None:
+        d = d.withColumn("component", F.col("w"))
+    else:
+        d = d.join(*dealt(d, names.select(F.col("v").alias("w"), F.col("id").alias("component")), "w"))
+    return d.select("id", "h", "n", "component", (F.col("v") == F.col("w")).alias("first"))
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = THRESHOLD) -> DataFrame:
-    """The input's rows without those that repeat an earlier document: of each group the row with the smallest id stays."""
-    g = groups(df, key, text, shingle, percent).where("id = component").select(F.col("id").alias("_id"), F.col("h").alias("_h")).distinct()
+    """One of the input's rows for each group: that of the smallest id, and of its smallest text hash."""
+    g = groups(df, key, text, shingle, percent).where("first").groupBy(F.col("id").alias("_id"), F.col("h").alias("_h")).agg((F.count("*") > 1).alias("_more"))
+    g = checkpoint(g)
     cols = df.columns
     d = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
     k, t = f"c{cols.index(key)}", f"c{cols.index(text)}"
     d = d.withColumn("_k", F.coalesce(F.col(k).cast("long"), F.lit(NO_ID))).withColumn("_x", F.xxhash64(t))
-    d = d.join(g, (F.col("_k") == F.col("_id")) & (F.col("_x") == F.col("_h")), "left_semi")
-    return d.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)])
+    of = lambda more: d.join(g.where(F.col("_more") == more), (F.col("_k") == F.col("_id")) & (F.col("_x") == F.col("_h")), "left_semi")
+    out = of(False)
+    if g.where("_more").limit(1).count():  # rows that repeat id and text are combined before they are dealt
+        out = out.unionByName(of(True).dropDuplicates(["_k", "_x"]))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)])

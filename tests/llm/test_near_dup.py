@@ -69,10 +69,28 @@ def test_awkward_rows(spark):
     kept = near_dup.keep_one(d)
     assert kept.columns == d.columns
     ids = sorted((r.doc_id or -1 for r in kept.collect()))
-    assert 6 not in ids and 9 not in ids and -1 in ids and {1, 2, 3, 4, 5, 8, 10} <= set(ids)
+    assert ids == [-1, 1, 2, 3, 4, 5, 8, 10]
     assert near_dup.keep_one(d.limit(0)).count() == 0
 
 
+def test_rows_without_or_with_shared_ids(spark):
+    """Texts under one id, or none, are documents of their own: they link, and one row of each group stays."""
+    w = [f"w{i}" for i in range(60)]
+    near = lambda k: " ".join([*w, f"own{k}"])
+    other = lambda k: " ".join([*(f"o{i}" for i in range(60)), f"own{k}"])
+    hi, lo = 2**63 - 1, -(2**63) + 1
+    ids = [(None, near(0)), (None, near(1)), (None, near(1)), (7, near(2)), (None, "alone here"), (9, other(0)), (9, other(1)), (9, "quite another text"), (hi, other(2)), (lo, "far down"), (hi, "far down"), (3, None), (3, "")]
+    rows = [(i, t, "en", "a", 0) for i, t in ids]
+    got = {(r.id, r.n, r.component) for r in near_dup.groups(frame(spark, rows), shingle=2).collect()}
+    none = near_dup.NO_ID
+    assert got == {(none, 60, none), (7, 60, none), (none, 1, none), (9, 60, 9), (9, 2, 9), (hi, 60, 9), (lo, 1, lo), (hi, 1, lo), (3, 0, 3)}
+    kept = [(r.doc_id, r.text) for r in near_dup.keep_one(frame(spark, rows), shingle=2).collect()]
+    firsts = {(None, near(0)), (None, near(1))}
+    assert len([x for x in kept if x in firsts]) == 1 and len([x for x in kept if x in {(9, other(0)), (9, other(1))}]) == 1
+    assert len(kept) == len(set(kept)) == 7
+    assert {(None, "alone here"), (9, "quite another text"), (lo, "far down"), (3, None), (3, "")} <= set(kept)
+
+
 def test_sketches_estimate_similarity():
     a = " ".join(f"w{i}" for i in range(1000))
     for changed in (0, 20, 60):
