@@ -165,13 +165,18 @@ def plan(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7) -> DataFrame:
     """The input's rows, each as often as the mix takes it."""
     p = plan(df, key, text, source, seed)
-    p = p.groupBy(F.col(key).alias("_id"), F.col("h").alias("_h")).agg(F.sort_array(F.collect_list(F.struct("o", "copies"))).alias("_c"))
+    # rows of one key, text and source have one size, so they differ by a copy at most: how many have one more is all there is to know
+    p = p.groupBy(F.col(key).alias("_id"), F.col("h").alias("_h")).agg(F.min("copies").alias("_c"), F.sum("copies").alias("_all"), F.count("*").alias("_rows"))
+    p = checkpoint(p)
     cols = df.columns
     d = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
     k, t, s = (f"c{cols.index(c)}" for c in (key, text, source))
     d = d.withColumn("_k", F.col(k).cast("long")).withColumn("_x", F.xxhash64(F.col(t), F.col(s)))
-    d = d.withColumn("_o", F.row_number().over(Window.partitionBy("_k", "_x").orderBy("_x")))
-    d = d.join(p, F.col("_k").eqNullSafe(F.col("_id")) & (F.col("_x") == F.col("_h")))
-    n = F.get(F.col("_c"), F.col("_o") - 1)["copies"]
-    d = d.withColumn("_n", F.explode(F.array_repeat(F.lit(1), n)))
-    return d.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)])
+    meet = lambda p: d.join(p, F.col("_k").eqNullSafe(F.col("_id")) & (F.col("_x") == F.col("_h")))
+    # what is not taken doesn't travel
+    out = meet(p.where("_rows = 1 AND _all > 0")).withColumn("_n", F.col("_c"))
+    if p.where("_rows > 1").limit(1).count():  # numbered row by row; no group is held
+        many = meet(p.where("_rows > 1 AND _all > 0")).withColumn("_o", F.row_number().over(Window.partitionBy("_k", "_x").orderBy("_x")))
+        out = out.unionByName(many.withColumn("_n", F.col("_c") + (F.col("_o") <= F.col("_all") - F.col("_rows") * F.col("_c")).cast("int")).drop("_o"))
+    out = out.withColumn("_n", F.explode(F.array_repeat(F.lit(1), F.col("_n"))))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)])

@@ -81,6 +81,18 @@ def test_reruns_agree_however_rows_lie(spark):
     assert runs[0] == runs[1] == runs[2]
 
 
+def test_repeated_rows(spark):
+    """Many rows of one id (or none) and one text are taken as often in all as the plan says, each at most twice."""
+    d = spark.range(900).select(F.when(F.col("id") < 300, None).when(F.col("id") < 500, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 500, "one two three").otherwise(F.concat(F.lit("own "), F.col("id"))).alias("text"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"), "id")
+    p = mixing.plan(d).groupBy("doc_id", "source").agg(F.sum("copies").alias("n")).collect()
+    m = mixing.mix(d).groupBy("doc_id", "source", "id").count().collect()
+    got = defaultdict(int)
+    for r in m:
+        got[r.doc_id, r.source] += r["count"]
+        assert r["count"] <= 2
+    assert got == {(r.doc_id, r.source): r.n for r in p if r.n}
+
+
 def test_awkward_rows(spark):
     d = frame(spark)
     p = mixing.plan(d)
