@@ -7,8 +7,8 @@ Defined results, for every stage: an empty table gives an empty one; columns bey
 those of `documents`, whatever their names, pass through (the last stage drops them).
 Null and empty texts have no words, so the first stage rejects them; those that the
 second empties stay, link with nothing, have size 0 and so are in no mix.  Repeated
-rows with one id and text are one document to the second and third stage, which keep
-or cut them alike, and rows of their own to the others.  A null id sorts first: texts
+rows with one id and text are one document to the second and third stage: the second
+cuts them alike, the third keeps one.  Elsewhere they are rows of their own.  A null id sorts first: texts
 without one count as earlier than all others.  Ties are settled by id, then by hash of
 the text.  A null source is a source of its own.
 """
