@@ -15,11 +15,25 @@ def resolved(df: DataFrame, facts: list[tuple[DataFrame, str, str]], name: Colum
     return df.withColumn(out, F.coalesce(*found, F.concat(F.lit("external:"), name))).drop(*[f"_r{i}" for i in range(len(facts))])
 
 
+#: Rows of the other side up to which it is sent to every executor.
+SMALL = 20_000
+
+
+def _meet(opened: DataFrame, other: DataFrame, on: str | Column) -> DataFrame:
+    """Join rows that were opened into several each with the other side.
+
+    Spark takes the opened rows to be as few as before and would send them all through
+    the driver.  Only another side that was counted to be small is sent, else both are dealt out.
+    """
+    small = other.limit(SMALL + 1).count() <= SMALL
+    return opened.join(other.hint("broadcast" if small else "merge"), on)
+
+
 def suffix_join(names: DataFrame, vocabulary: DataFrame, name: str, word: str, by: str = ".") -> DataFrame:
     """Names that are a word or end with it after `by`: names are opened into their suffixes."""
     p = F.split(name, by.replace(".", "\\."))
     tails = F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.array_join(F.slice(p, i, F.size(p)), by))
-    return names.withColumn("_tail", F.explode(tails)).join(vocabulary, F.col("_tail") == F.col(word)).drop("_tail")
+    return _meet(names.withColumn("_tail", F.explode(tails)), vocabulary, F.col("_tail") == F.col(word)).drop("_tail")
 
 
 def substring_join(names: DataFrame, vocabulary: DataFrame, name: str, word: str, width: int = 3) -> DataFrame:
@@ -32,19 +46,19 @@ def substring_join(names: DataFrame, vocabulary: DataFrame, name: str, word: str
     grams = F.flatten(F.transform(lengths, lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(n) - k + 1, F.lit(1))), lambda i: F.substr(n, i, k))))
     left = names.withColumn("_g", F.explode(F.array_distinct(grams)))
     right = vocabulary.withColumn("_g", F.substr(w, F.lit(1), F.lit(width)))
-    return left.join(right, "_g").where(F.contains(n, w)).drop("_g")
+    return _meet(left, right, "_g").where(F.contains(n, w)).drop("_g")
 
 
 def prefix_join(specifiers: DataFrame, packages: DataFrame, specifier: str, package: str) -> DataFrame:
     """Specifiers that are a package or a path below one."""
     p = F.split(specifier, "/")
     heads = F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.array_join(F.slice(p, 1, i), "/"))
-    return specifiers.withColumn("_head", F.explode(heads)).join(packages, F.col("_head") == F.col(package)).drop("_head")
+    return _meet(specifiers.withColumn("_head", F.explode(heads)), packages, F.col("_head") == F.col(package)).drop("_head")
 
 
 def contains_join(df: DataFrame, ids: DataFrame, array: str, id_: str) -> DataFrame:
     """Rows with each id that their array holds."""
-    return df.withColumn("_x", F.explode(F.array_distinct(array))).join(ids, F.col("_x") == F.col(id_)).drop("_x")
+    return _meet(df.withColumn("_x", F.explode(F.array_distinct(array))), ids, F.col("_x") == F.col(id_)).drop("_x")
 
 
 def bijective(pairs: DataFrame, group: str, a: str, b: str) -> DataFrame:
@@ -61,4 +75,4 @@ def nearest_ancestor(paths: DataFrame, files: DataFrame, path: str, base: str) -
     up = paths.select(path, F.posexplode(ancestors(F.col(path))).alias("_d", "_folder"))
     at = files.where(F.col("file").endswith(base)).select("file", F.regexp_replace("file", "/?[^/]+$", "").alias("_folder"))
     at = at.where((F.col("file") == F.lit(base)) | F.col("file").endswith(f"/{base}"))
-    return up.join(at, "_folder").groupBy(path).agg(F.max_by("file", "_d").alias("found"))
+    return _meet(up, at, "_folder").groupBy(path).agg(F.max_by("file", "_d").alias("found"))
