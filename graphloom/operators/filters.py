@@ -7,18 +7,23 @@ from pyspark.sql import functions as F
 
 
 def symbol_lookup(requests: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(request, status, id, candidates) of names (request, name, file) among symbols (id, name, qualified_name, file_path).
+    """(request, status, id, candidates, n) of names (request, name, file) among symbols (id, name, qualified_name, file_path).
 
     A name matches a simple or a qualified one, in the file if one is given.  One match
-    is found; several are ambiguous, and their ids are listed.
+    is found; several (n) are ambiguous, and their ids are listed.  Matches are counted
+    once for each name, and name and file, not for each request; lists that are not
+    selected are not made.
     """
-    s = symbols.select("id", "file_path", F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("name"))
-    hit = requests.join(s, "name").where(F.col("file").isNull() | (F.col("file") == F.col("file_path"))).select("request", "id").distinct()
-    n = hit.groupBy("request").agg(F.array_sort(F.collect_list("id")).alias("candidates"))
-    d = requests.select("request").join(n, "request", "left")
-    size = F.coalesce(F.size("candidates"), F.lit(0))
-    status = F.when(F.col("candidates").isNull(), "not-found").when(size == 1, "found").otherwise("ambiguous")
-    return d.select("request", status.alias("status"), F.when(size == 1, F.get("candidates", F.lit(0))).alias("id"), F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"))
+    s = symbols.where("id is not null").select("id", "file_path", F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("name"))
+    anywhere = s.select("name", F.lit(None).cast("string").alias("file"), "id")
+    within = s.where("file_path is not null").select("name", F.col("file_path").alias("file"), "id")
+    found = anywhere.unionByName(within).distinct().groupBy("name", "file")
+    found = found.agg(F.count("*").alias("n"), F.min("id").alias("_id"), F.array_sort(F.collect_list("id")).alias("candidates"))
+    r = requests.select("request", F.col("name").alias("_name"), F.col("file").alias("_file"))
+    d = r.join(found.hint("merge"), (F.col("_name") == F.col("name")) & F.col("_file").eqNullSafe(F.col("file")), "left")
+    n = F.coalesce("n", F.lit(0).cast("long"))
+    status = F.when(n == 0, "not-found").when(n == 1, "found").otherwise("ambiguous")
+    return d.select("request", status.alias("status"), F.when(n == 1, F.col("_id")).alias("id"), F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"), n.alias("n"))
 
 
 def between(edges: DataFrame, selected: DataFrame) -> DataFrame:

@@ -178,7 +178,7 @@ def symbol_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Requests by simple or qualified name, some within a file: found, ambiguous or not found."""
     s = table(spark, d, "part").select(F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name"), F.concat_ws(".", "p_brand", "p_name", F.col("p_partkey").cast("string")).alias("qualified_name"), F.col("p_type").alias("file_path"))
     r = table(spark, d, "part").select(F.concat(F.lit("q"), F.col("p_partkey").cast("string")).alias("request"), F.expr("case p_partkey % 4 when 0 then p_name when 1 then concat_ws('.', p_brand, p_name, p_partkey) when 2 then concat(p_name, '?') else p_name end").alias("name"), F.expr("if(p_partkey % 4 = 3, p_type, null)").alias("file"))
-    return filters.symbol_lookup(r, s).select("request", "status", "id", F.size("candidates").cast("long").alias("n"))
+    return filters.symbol_lookup(r, s).select("request", "status", "id", "n")
 
 
 def selected_edges(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Plans that keep rows off the driver and out of one task, and the rows they give."""
 
-from graphloom.operators import joins
+from graphloom import catalogue
+from graphloom.operators import filters, joins
 from graphloom.session import table
 
 SF = "/root/testdata/sf0.001"
@@ -24,3 +25,19 @@ def test_opened_rows_are_not_broadcast(spark, monkeypatch):
             assert ("BroadcastHashJoin" in plan(df)) == (small > 0)
             rows.append(sorted((r.p_partkey, r.word) for r in df.collect()))
     assert rows[0] and rows[0] == rows[1] and rows[2] and rows[2] == rows[3]
+
+
+def test_names_are_looked_up_once(spark):
+    """Many requests of a name that many symbols have are answered from its count; lists are made where they are asked for."""
+    s = [(f"s{i}", "same", f"a.same.{i}", "f" if i % 2 else None) for i in range(4)] + [("t", "one", "one", "g"), ("t", "one", "b.one", "g")]
+    r = [("q0", "same", None), ("q1", "same", "f"), ("q2", "a.same.2", None), ("q3", "a.same.2", "f"), ("q4", "one", None), ("q5", "one", "g"), ("q6", None, None), ("q7", "none", None)]
+    symbols, requests = spark.createDataFrame(s, "id string, name string, qualified_name string, file_path string"), spark.createDataFrame(r, "request string, name string, file string")
+    got = {x.request: (x.status, x.id, x.candidates) for x in filters.symbol_lookup(requests, symbols).collect()}
+    every = [f"s{i}" for i in range(4)]
+    assert got == {
+        "q0": ("ambiguous", None, every), "q1": ("ambiguous", None, ["s1", "s3"]), "q2": ("found", "s2", ["s2"]), "q3": ("not-found", None, []),
+        "q4": ("found", "t", ["t"]), "q5": ("found", "t", ["t"]), "q6": ("not-found", None, []), "q7": ("not-found", None, []),
+    }
+    p = plan(catalogue.QUERIES["symbol_lookup"](spark, SF))
+    assert "collect_" not in p  # no list for each request
+    assert p.index("Join") < p.index("Aggregate")  # symbols are summed up below the join, not pairs above it
