@@ -380,8 +380,9 @@ def signals(candidates: DataFrame, keys: list[str], rules_of: dict | None = None
         own = F.col("kind").isin(*kinds)
         found += [F.when(own & condition(c), row(r, (*area, "local")[0], s, x)) for r, x, s, c, *area in rules]
         found += [F.when(own & condition(c), row("penalty", "penalty", "none", x)) for x, c in penalties]
-    d = candidates.select(*keys, F.filter(F.array(*found), lambda x: x.isNotNull()).alias("_s"))
-    return d.select(*keys, F.explode("_s").alias("x")).select(*keys, "x.*")
+    d = candidates.select(*keys, F.array(*found).alias("_s"))
+    # an outer explode: from an inner one Spark infers a filter that has all rules evaluated once more, outside of generated code
+    return d.select(*keys, F.explode_outer("_s").alias("x")).where("x is not null").select(*keys, "x.*")
 
 
 def signals_sql(rules_of: dict | None = None) -> str:

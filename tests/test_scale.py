@@ -41,3 +41,9 @@ def test_names_are_looked_up_once(spark):
     p = plan(catalogue.QUERIES["symbol_lookup"](spark, SF))
     assert "collect_" not in p  # no list for each request
     assert p.index("Join") < p.index("Aggregate")  # symbols are summed up below the join, not pairs above it
+
+
+def test_rules_are_evaluated_once(spark):
+    """No filter is inferred that evaluates all rules a second time."""
+    for name in ("pattern_signals", "design_signals"):
+        assert "size(filter(array(CASE" not in plan(catalogue.QUERIES[name](spark, SF))
