@@ -72,6 +72,8 @@ def candidates(spark: SparkSession, d: str, code: list[dict] = _CODE, features:
     s = StructType.fromDDL(f"n int, {features}")
     rows = spark.createDataFrame([(n, *[_value(f, row) for f in s.fields[1:]]) for n, row in enumerate(code)], s)
     p = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % len(code)).cast("int").alias("n"))
+    # a file of bare keys is one task; a fixed number of parts, as Spark would coalesce them by the keys' size, not the work
+    p = p.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
     # the name of every hundredth part's code ends in another way
     return p.join(F.broadcast(rows), "n").withColumn("name", F.when(F.col("p_partkey") % 100 == 0, F.concat("name", F.lit("Handler"))).otherwise(F.col("name"))).drop("n")
 

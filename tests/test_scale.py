@@ -47,3 +47,11 @@ def test_rules_are_evaluated_once(spark):
     """No filter is inferred that evaluates all rules a second time."""
     for name in ("pattern_signals", "design_signals"):
         assert "size(filter(array(CASE" not in plan(catalogue.QUERIES[name](spark, SF))
+
+
+def test_parts_are_dealt_before_the_rules(spark):
+    """Bare keys fit into one task, their rules don't; detections of a part then need no second exchange."""
+    for name in ("detected_patterns", "detected_designs"):
+        df = catalogue.QUERIES[name](spark, SF)
+        p = df._jdf.queryExecution().executedPlan().toString()
+        assert p.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in p
