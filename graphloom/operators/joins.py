@@ -19,14 +19,18 @@ def resolved(df: DataFrame, facts: list[tuple[DataFrame, str, str]], name: Colum
 SMALL = 20_000
 
 
+def sized(other: DataFrame) -> DataFrame:
+    """Other side of a join: sent to every executor if it is counted to be small, else dealt out with its partner, never through the driver."""
+    return other.hint("broadcast" if other.limit(SMALL + 1).count() <= SMALL else "merge")
+
+
 def _meet(opened: DataFrame, other: DataFrame, on: str | Column) -> DataFrame:
     """Join rows that were opened into several each with the other side.
 
     Spark takes the opened rows to be as few as before and would send them all through
     the driver.  Only another side that was counted to be small is sent, else both are dealt out.
     """
-    small = other.limit(SMALL + 1).count() <= SMALL
-    return opened.join(other.hint("broadcast" if small else "merge"), on)
+    return opened.join(sized(other), on)
 
 
 def suffix_join(names: DataFrame, vocabulary: DataFrame, name: str, word: str, by: str = ".") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.intervals import maximal
+from graphloom.operators.joins import sized
 from graphloom.operators.sets import last_wins
 from graphloom.session import checkpoint
 
@@ -182,19 +183,45 @@ def dependency_levels(edges: DataFrame) -> DataFrame:
     """(id, level): 0 for what depends on nothing, else one more than the highest dependency.
 
     Levels are found until no node is ready any more, so nodes that are left out are
-    on a cycle or depend on one.
+    on a cycle or depend on one.  Nodes with one dependency lead to the end of their
+    chain in rounds that double the distance; only nodes with several are taken level by level.
     """
-    e = checkpoint(edges.select("from_id", "to_id").distinct())
+    e = checkpoint(edges.select("from_id", "to_id"))
+    one = F.coalesce((F.min("to_id") == F.max("to_id")) & (F.count_if(F.col("to_id").isNull()) == 0), F.lit(False))
+    users = checkpoint(e.where("from_id is not null").groupBy(F.col("from_id").alias("id")).agg(F.min("to_id").alias("up"), one.alias("one")))
+    chained, branched = users.where("one").select("id", "up"), users.where("not one").select(F.col("id").alias("from_id"))
     nodes = e.select(F.col("from_id").alias("id")).union(e.select("to_id")).distinct()
-    last = checkpoint(nodes.join(e.select(F.col("from_id").alias("id")), "id", "left_anti").withColumn("level", F.lit(0)))
-    out, k = last, 0
-    while last.limit(1).count():
-        k += 1
-        # only edges to nodes without a level stay open, and only users of the last level can be ready
-        users = e.join(last.select(F.col("id").alias("to_id")), "to_id", "left_semi").select(F.col("from_id").alias("id")).distinct()
-        e = checkpoint(e.join(last.select(F.col("id").alias("to_id")), "to_id", "left_anti"))
-        last = checkpoint(users.join(e.select(F.col("from_id").alias("id")), "id", "left_anti").withColumn("level", F.lit(k)))
+    last = checkpoint(nodes.join(sized(users.select("id")), "id", "left_anti").withColumn("level", F.lit(0)))
+    # (id, up, w, done): `up` is w steps on, and done if it is no part of a chain
+    inner = chained.select(F.col("id").alias("_id"))
+    jump = checkpoint(chained.join(sized(inner), F.col("up") == F.col("_id"), "left").select("id", "up", F.lit(1).alias("w"), F.col("_id").isNull().alias("done")))
+    open_, before = jump.where("not done").count(), -1
+    while open_ and open_ != before:  # distances on chains have no gaps: a round that settles nothing leaves cycles
+        further = jump.select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("w").alias("_w"), F.col("done").alias("_done"))
+        moved = jump.where("not done").join(sized(further), F.col("up") == F.col("_id")).select("id", F.col("_up").alias("up"), (F.col("w") + F.col("_w")).alias("w"), F.col("_done").alias("done"))
+        jump = checkpoint(jump.where("done").unionByName(moved))
+        open_, before = jump.where("not done").count(), open_
+    ends = last
+    if branched.limit(1).count():
+        ends = _branched_levels(e.join(sized(branched), "from_id", "left_semi").distinct(), jump, last)
+    ends = checkpoint(ends)
+    at = ends.select(F.col("id").alias("_id"), "level")
+    return ends.unionByName(jump.where("done").join(sized(at), F.col("up") == F.col("_id")).select("id", (F.col("level") + F.col("w")).alias("level")))
+
+
+def _branched_levels(edges: DataFrame, jump: DataFrame, last: DataFrame) -> DataFrame:
+    """Levels of `last` and of the nodes that edges start from, whose dependencies are taken to the ends of their chains."""
+    j = jump.select(F.col("id").alias("to_id"), "up", F.col("w").alias("_w"))
+    e = edges.join(sized(j), "to_id", "left").groupBy("from_id", F.coalesce("up", "to_id").alias("to_id")).agg(F.max(F.lit(1) + F.coalesce("_w", F.lit(0))).alias("w"))
+    e, out = checkpoint(e.withColumn("best", F.lit(None).cast("int"))), last
+    while last.limit(1).count() and e.limit(1).count():
+        met = e.join(sized(last.select(F.col("id").alias("to_id"), "level")), "to_id", "left")
+        met = checkpoint(met.select("from_id", "to_id", "w", "best", (F.col("level") + F.col("w")).alias("v")))
+        # only edges to nodes without a level stay open; of the others the highest is kept
+        found = checkpoint(met.groupBy("from_id").agg(F.max(F.greatest("best", "v")).alias("best"), F.count_if(F.col("v").isNull()).alias("n")))
+        last = found.where("n = 0").select(F.col("from_id").alias("id"), F.col("best").alias("level"))
         out = out.unionByName(last)
+        e = checkpoint(met.where("v is null").select("from_id", "to_id", "w").join(sized(found.where("n > 0").select("from_id", "best")), "from_id"))
     return out
 
 

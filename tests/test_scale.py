@@ -1,7 +1,10 @@
 """Plans that keep rows off the driver and out of one task, and the rows they give."""
 
+import random
+
 from graphloom import catalogue
 from graphloom.operators import filters, joins
+from graphloom.plans import graph
 from graphloom.session import table
 
 SF = "/root/testdata/sf0.001"
@@ -55,3 +58,31 @@ def test_parts_are_dealt_before_the_rules(spark):
         df = catalogue.QUERIES[name](spark, SF)
         p = df._jdf.queryExecution().executedPlan().toString()
         assert p.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in p
+
+
+def test_levels_of_any_graph(spark):
+    """Chains, branches, cycles and what hangs on them, against plain Python; a chain takes few rounds."""
+    rng, edges = random.Random(5), []
+    for g in range(12):
+        n = 30
+        for i in range(1, n):
+            for _ in range(rng.choice([1, 1, 1, 2, 3])):
+                edges.append((f"{g}.{i}", f"{g}.{rng.randrange(max(0, i - 4), i)}"))
+    edges += [("c1", "c2"), ("c2", "c3"), ("c3", "c1"), ("on1", "c1"), ("on2", "on1"), ("both", "on2"), ("both", "0.7"), ("above", "both"), ("self", "self"), ("twice", "0.3"), ("twice", "0.3")]
+    edges += [("k1", "k2"), ("k2", "k1"), ("k2", "0.1"), ("p", "k1"), ("open", None)]
+    deps = {}
+    for a, b in edges:
+        deps.setdefault(a, set()).add(b)
+    want = {b: 0 for _, b in edges if b not in deps and b is not None}
+    while new := {a: 1 + max(want[b] for b in bs) for a, bs in deps.items() if a not in want and all(b in want for b in bs)}:
+        want |= new
+    got = [(r.id, r.level) for r in graph.dependency_levels(spark.createDataFrame(edges, "from_id string, to_id string")).collect() if r.id is not None]
+    assert len(got) == len(want) and dict(got) == want
+
+
+def test_chains_take_few_rounds(spark, monkeypatch):
+    laid = []
+    monkeypatch.setattr(graph, "checkpoint", lambda df, f=graph.checkpoint: laid.append(1) or f(df))
+    chain = spark.range(1, 301).selectExpr("cast(id as string) AS from_id", "cast(id - 1 as string) AS to_id")
+    assert {int(r.id): r.level for r in graph.dependency_levels(chain).collect()} == {i: i for i in range(301)}
+    assert len(laid) < 20
