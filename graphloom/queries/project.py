@@ -231,7 +231,11 @@ def template_keys(spark: SparkSession, d: str) -> DataFrame:
 
 def numbered_results(spark: SparkSession, d: str) -> DataFrame:
     """Places of rows by the named orders of nodes, edges, detections, matches, chunks, hits and plans, within a key each."""
-    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
+    own = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    li = table(spark, d, "lineitem").select(*own, "l_quantity")
+    # dealt by key once; parts grow in number with the input, and a fixed number is not coalesced, so that a task's sorts stay small
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * li.rdd.getNumPartitions())
+    li = li.repartition(n, "l_orderkey").groupBy(*own).agg(F.max("l_quantity").alias("q"))
     c, s = F.col, lambda x: F.col(x).cast("string")
     named = {
         "nodes": [s("l_partkey").alias("qualified_name"), s("l_suppkey").alias("file_path"), c("l_linenumber").alias("line"), s("l_partkey").alias("id")],
@@ -242,11 +246,11 @@ def numbered_results(spark: SparkSession, d: str) -> DataFrame:
         "hits": [s("l_suppkey").alias("repository"), s("l_partkey").alias("path"), s("l_linenumber").alias("sha")],
         "plans": [c("q").alias("width"), s("l_partkey").alias("rule_id"), F.concat_ws("/", s("l_suppkey"), s("l_linenumber")).alias("candidate_id")],
     }
-    out, own = None, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
-    for name, cols in named.items():
-        n = ordered.numbered(li.select(*own, *cols), ["l_orderkey"], ordered.named(name)).select(*own, F.lit(name).alias("order_name"), "place")
-        out = n if out is None else out.unionByName(n)
-    return out
+    before = li.columns
+    for name, cols in named.items():  # sorted in place for one order after another
+        before = [*before, name]
+        li = ordered.numbered(li.select("*", *cols), ["l_orderkey"], ordered.named(name), name).select(*before)
+    return li.unpivot(own, list(named), "order_name", "place")
 
 
 def first_diagnostics(spark: SparkSession, d: str) -> DataFrame:

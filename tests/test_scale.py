@@ -86,3 +86,9 @@ def test_chains_take_few_rounds(spark, monkeypatch):
     chain = spark.range(1, 301).selectExpr("cast(id as string) AS from_id", "cast(id - 1 as string) AS to_id")
     assert {int(r.id): r.level for r in graph.dependency_levels(chain).collect()} == {i: i for i in range(301)}
     assert len(laid) < 20
+
+
+def test_orders_share_one_exchange(spark):
+    df = catalogue.QUERIES["numbered_results"](spark, SF)
+    p = df._jdf.queryExecution().executedPlan().toString()
+    assert p.count("Exchange") == 1 and "REPARTITION_BY_NUM" in p
