@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.joins import sized
+
 
 def symbol_lookup(requests: DataFrame, symbols: DataFrame) -> DataFrame:
     """(request, status, id, candidates, n) of names (request, name, file) among symbols (id, name, qualified_name, file_path).
@@ -82,7 +84,7 @@ def aligned_sites(candidates: DataFrame, sites: DataFrame, compatible: DataFrame
     They meet at one place with a compatible kind (kind, site_kind); exactly one site is
     a match, none or several reject the candidate.
     """
-    hit = candidates.join(compatible, "kind").join(sites, ["file", "start", "site_kind"])
+    hit = candidates.join(sized(compatible), "kind").join(sites, ["file", "start", "site_kind"])
     n = hit.groupBy("candidate").agg(F.count("*").alias("n"), F.min("site").alias("site"))
     d = candidates.select("candidate").join(n, "candidate", "left")
     status = F.when(F.col("n") == 1, "exact").when(F.col("n") > 1, "several").otherwise("none")

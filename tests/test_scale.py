@@ -92,3 +92,13 @@ def test_orders_share_one_exchange(spark):
     df = catalogue.QUERIES["numbered_results"](spark, SF)
     p = df._jdf.queryExecution().executedPlan().toString()
     assert p.count("Exchange") == 1 and "REPARTITION_BY_NUM" in p
+
+
+def test_kinds_do_not_deal_the_candidates(spark):
+    """A few kinds as keys of an exchange would put all candidates into as many tasks."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of any size
+    try:
+        p = catalogue.QUERIES["call_site_alignment"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange hashpartitioning(kind" not in p
